@@ -5,6 +5,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,12 +104,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     A null or empty text has no words and fails few_words. Every row is judged on its own, so repeated rows and null or
     repeated ids stay as they are; extra columns pass through, those named as a measure are replaced.
     """
-    measured = measure(docs.drop(*MEASURES))
+    kept = [c for c in docs.columns if c not in (*MEASURES, "failures")]
     bits = [F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(_failures()[r] for r in RULES)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return measured.withColumn("failures", out)
+    # a generated column: filters on it stay above it, else each use would measure the text anew
+    entry = F.struct(*MEASURES, reduce(Column.bitwiseOR, bits).alias("failures"))
+    return measure(docs.select(*kept)).select(*kept, F.inline(F.array(entry)))
 
 
 def passes(policy: str = POLICY) -> Column:
