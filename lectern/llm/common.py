@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+#: Bytes of a batch that staged() lets a Python worker have at once.
+BATCH_BYTES = 8 << 20
+
 #: Separators of the word rule [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ mapped to spaces, and A-Z to a-z, for bytes.translate.
 ALNUM_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -39,11 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """What goes to a Python worker at once is held there several times over, and again by the JVM."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation and
     non-deterministic columns (partition numbers, row ids) are the same for all readers."""
     path = f"{shared_dir(df.sparkSession)}/lectern/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -14,6 +14,7 @@ from lectern.llm.common import blank_null, space_words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_upper")
 
 
@@ -93,7 +94,7 @@ def measure(docs: DataFrame) -> DataFrame:
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             "n_lines": F.size("_l").cast("long"),
             "n_chars": F.length("_t").cast("long"),
-            "n_upper": count(_col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ").cast("long"),
+            "n_upper": count(_col("_t"), UPPER).cast("long"),
         }
     ).drop("_t", "_w", "_n", "_l", "_h", "_s", "_p")
 
