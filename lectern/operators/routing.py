@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.config import DEFAULTS
 from lectern.functions import text as X
@@ -36,7 +37,7 @@ def ask(prompts: DataFrame, make_model: Callable[[], Model], prompt: str = "prom
         for pdf in batches:
             yield pdf.assign(**{answer: [one(p) for p in pdf[prompt]]})
 
-    return prompts.mapInPandas(run, prompts.schema.add(answer, "string"))
+    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField(answer, T.StringType())]))
 
 
 def catalog_entry(section_id="section_id", title="title", chapter="chapter_title", abstract="abstract", keywords="tfidf_keywords", supplementary="is_deprioritized") -> Column:
