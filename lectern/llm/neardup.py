@@ -1,9 +1,10 @@
 """Near-duplicates by MinHash: one-permutation sketches, banded buckets, star-shaped candidate edges, links confirmed on
 full shingle sets, classes by contraction.
 
-Documents with equal shingle sets become one node first, so a large group of copies costs one node. In a bucket only a few
-hubs are compared with the others; a bucket is taken up again, with more hubs, as long as nodes not yet compared belong to
-different classes. So every pair of a bucket is either compared or joined by other links, without a cap.
+Documents with equal shingle sets become one node first, so a large group of copies costs one node. In a bucket one hub is
+compared with all others. Where those others then belong to several classes, pairs among them are found by an exact
+set-similarity join with prefix, size and position filters. So every pair of a bucket is compared, joined by other links, or
+shown to be too different, without a cap and without all pairs of a bucket.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import blank_null, ship, staged, unstage
@@ -21,8 +22,6 @@ from lectern.llm.common import blank_null, ship, staged, unstage
 #: 32 bands of 4 of 128 bins: of pairs at 0.8, one in 2e7 shares no band.
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-#: Hubs of a bucket in successive rounds; the last stands for all later ones.
-HUBS = (1, 4, 16, 64, 256)
 #: Up to so many candidate nodes (about 40 bytes each) are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_NODES = 200_000
 KEPT_WORDS = 400_000
@@ -210,7 +209,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     all_docs = staged(sketches(docs.withColumn("row", F.monotonically_increasing_id()), size), "sketches")
     nodes = staged(
-        all_docs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
+        all_docs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     labels = _classes(docs, nodes, size, percent)
@@ -242,48 +241,66 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _classes(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame | None:
     """node, root of nodes that have links."""
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    left = staged(keyed.join(shared, "key"), "members")
-    labels = checked = None
-    for turn in range(1 << 30):
-        salt = HUBS[min(turn, len(HUBS) - 1)]
-        group = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(salt)) if salt > 1 else F.lit(0)
-        hubs = left.groupBy("key", group.alias("s")).agg(F.min("node").alias("hub"))
-        root = labels.select("node", "root") if labels is not None else None
-        at = left if root is None else left.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if root is None:
-            at, hubs = at.withColumn("root", F.col("node")), hubs.withColumn("hub_root", F.col("hub"))
-        else:
-            hubs = hubs.join(root.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-        hub_n = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-        near = at.join(hubs.drop("s"), "key").where("node <> hub and root <> hub_root")
-        pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "hub", "n").dropDuplicates(["a", "b"])
-        pairs = pairs.join(hub_n, "hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("a", "b")
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        checked = pairs if checked is None else checked.union(pairs)
-        if not pairs.isEmpty():
-            ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            texts = staged(_texts(docs, staged(ends.join(nodes.select("node", "rep", "fp"), "node"), "ends"), size), "texts")
-            links = staged(_confirm(pairs, texts, size, percent), "links")
-            unstage(texts)
-            if labels is None:
-                labels = components(links)
-            else:
-                inside = [labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
-                mapped = links.join(inside[0], "a", "left").join(inside[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-                up = components(mapped)
-                if up is not None:
-                    fresh = up.join(labels.select("node"), "node", "left_anti")
-                    labels = staged(relabel(labels, up).union(fresh), "labels")
-        # A bucket stays while nodes that were no hub in it belong to different classes.
-        after = left.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-        known = after.withColumn("root", F.col("node")) if labels is None else after.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        rest = staged(after.join(open_, "key").select("key", "node", "n"), "members")
-        unstage(left)
-        left = rest
-        if left.isEmpty():
-            return labels
+    keyed = nodes.select("node", "n", "copies", F.explode("bands").alias("key"))
+    # the text with most exact copies is most likely the one that others were made from
+    stars = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct((-F.col("copies")).alias("c"), "node", "n")).alias("h")).where("m > 1").select("key", "h.node", "h.n").toDF("key", "hub", "hub_n")
+    members = staged(keyed.join(stars, "key").where("node <> hub").select("key", "node", "n", "hub", "hub_n"), "members")
+    pairs = members.where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    labels = _linked(docs, nodes, staged(pairs.distinct(), "pairs"), size, percent, None)
+    # Where the others of a bucket are of several classes, pairs among them are still open.
+    rooted = members.select("key", "node") if labels is None else members.select("key", "node").join(labels, "node", "left")
+    root = F.col("node") if labels is None else F.coalesce("root", "node")
+    open_ = rooted.groupBy("key").agg(F.min(root).alias("lo"), F.max(root).alias("hi")).where("lo <> hi").select("key")
+    rest = staged(members.join(open_, "key").select("node").distinct(), "open")
+    unstage(members)
+    if rest.isEmpty():
+        return labels
+    texts = staged(_texts(docs, rest.join(nodes, "node").select("node", "rep", "fp"), size), "texts")
+    pairs = staged(_prefix_pairs(texts, labels, size, percent), "pairs")
+    return _linked(docs, nodes, pairs, size, percent, labels, texts)
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int, labels: DataFrame | None, texts: DataFrame | None = None) -> DataFrame | None:
+    """labels with the classes joined that confirmed pairs link."""
+    if pairs.isEmpty():
+        return labels
+    if texts is None:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = staged(_texts(docs, staged(ends.join(nodes, "node").select("node", "rep", "fp"), "ends"), size), "texts")
+    links = staged(_confirm(pairs, texts, size, percent), "links")
+    unstage(texts)
+    if labels is None:
+        return components(links)
+    inside = [labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
+    up = components(links.join(inside[0], "a", "left").join(inside[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    if up is None:
+        return labels
+    return staged(relabel(labels, up).union(up.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def _prefix_pairs(texts: DataFrame, labels: DataFrame | None, size: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of texts (node, text) that may reach the threshold and aren't of one class yet.
+
+    Shingles are put in order of their frequency among these texts, rarest first. Two sets that reach the threshold share
+    one of their first shingles of that order (so many that not all can be missed), are of similar size, and from the place
+    of the first shared one enough is left in both. Shingles of one text alone take places but join nothing: a text that
+    has too many of its own, as a far-off copy in a large family has, is in no pair.
+    """
+
+    def run(batches):
+        for batch in batches:
+            own = [shingles(t, size).view(np.int64) for t in _binary(batch, "text")]
+            sizes = [len(x) for x in own]
+            columns = np.repeat(batch["node"].to_numpy(), sizes), np.repeat(np.array(sizes, np.int64), sizes), np.concatenate([np.empty(0, np.int64), *own])
+            yield pa.record_batch([pa.array(c) for c in columns], names=["node", "n", "h"])
+
+    flat = staged(texts.mapInArrow(run, "node long, n long, h long"), "shingles")
+    shared = flat.join(flat.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h")
+    own = Window.partitionBy("node")
+    pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h"))
+    first = shared.select("node", "n", "h", pos.alias("pos")).where(f"pos <= n - ({percent} * n + 99) div 100 + 1")
+    rooted = first.withColumn("root", F.col("node")) if labels is None else first.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    a, b = (rooted.select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    left = "(1 + least(na - pa, nb - pb))"
+    fits = f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and 100 * {left} >= {percent} * (na + nb - {left})"
+    return a.join(b, "h").where(fits).select("a", "b").distinct()
