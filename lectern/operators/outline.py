@@ -111,15 +111,18 @@ def flatten(nodes: DataFrame, depth: int = 8) -> DataFrame:
     """Candidates of a forest (book_id, node_id, parent_id, ord, title) in pre-order: adds chapter_title (the root's title),
     parent_title, depth, path and is_deprioritized. Structural sections are left out, but not what is below them.
 
-    A level is joined at a time, ``depth`` at most; deeper nodes and cycles aren't reached.
+    Every node looks one ancestor further up at a time, ``depth`` of them at most; deeper nodes and cycles are left out.
     """
-    own = roots(nodes)
-    at = own.where("is_root").select("book_id", "node_id", "title", F.col("title").alias("chapter_title"), F.lit("").alias("parent_title"), F.array("ord").alias("path"))
-    out = at
-    kids = own.where("not is_root").select(F.col("book_id").alias("kid_book"), F.col("parent_id").alias("up"), F.col("node_id").alias("kid"), F.col("title").alias("kid_title"), "ord")
-    for _ in range(depth - 1):
-        at = kids.join(at, F.expr("kid_book = book_id and up = node_id")).select(
-            "book_id", F.col("kid").alias("node_id"), F.col("kid_title").alias("title"), "chapter_title", F.col("title").alias("parent_title"), F.concat("path", F.array("ord")).alias("path")
-        )
-        out = out.union(at)
+    up = nodes.select(F.col("book_id").alias("up_book"), F.col("node_id").alias("up_id"), F.col("title").alias("up_title"), F.col("ord").alias("up_ord"), F.col("parent_id").alias("next"))
+    out = nodes.select("book_id", "node_id", "title", F.col("title").alias("chapter_title"), F.lit("").alias("parent_title"), F.array("ord").alias("path"), F.col("parent_id").alias("above"))
+    found = F.col("up_id").isNotNull()
+    for k in range(depth):
+        out = out.join(up, F.expr("book_id = up_book and above = up_id"), "left").select(
+            "book_id", "node_id", "title",
+            F.when(found, F.col("up_title")).otherwise(F.col("chapter_title")).alias("chapter_title"),
+            (F.when(found, F.col("up_title")).otherwise("") if k == 0 else F.col("parent_title")).alias("parent_title"),
+            F.when(found, F.concat(F.array("up_ord"), "path")).otherwise(F.col("path")).alias("path"),
+            F.col("next").alias("above"),
+        )
+    out = out.where("above is null").drop("above")
     return out.where(routable("node_id")).withColumns({"depth": F.size("path"), "is_deprioritized": supplementary("title")})
