@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blank_null, parts, ship, staged
+from lectern.llm.common import blank_null, parts, ship, staged, thinned
 
 ROLES = ("system", "user", "assistant")
 #: The model is fitted on so many labelled rows at most, of at most so many lines, chosen by a hash of conv_id.
@@ -181,7 +181,8 @@ def split_units(conversations: DataFrame) -> DataFrame:
 def train(own: DataFrame) -> Model:
     """Fits on a bounded sample of units whose role is given; segments after a marker inside a row are left out."""
     rows = (
-        own.where(F.col("role").isin(*ROLES) & (F.col("segment") == 0) & (F.size("codes") <= SAMPLE_LINES))
+        thinned(own, own.count(), SAMPLE_ROWS, "conv_id")
+        .where(F.col("role").isin(*ROLES) & (F.col("segment") == 0) & (F.size("codes") <= SAMPLE_LINES))
         .orderBy(F.xxhash64("conv_id"), "conv_id", "chunk", "pos")
         .select("conv_id", "role", "codes")
         .limit(SAMPLE_ROWS)

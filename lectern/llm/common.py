@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession):
+def small_batches(spark: SparkSession):
     """What goes to a Python worker at once is held there several times over, and again by the JVM."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key, None)
@@ -59,7 +59,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation and
     non-deterministic columns (partition numbers, row ids) are the same for all readers."""
     path = f"{shared_dir(df.sparkSession)}/lectern/{label}-{uuid.uuid4().hex}"
-    with _small_batches(df.sparkSession):
+    with small_batches(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -78,6 +78,13 @@ def parts(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def thinned(df: DataFrame, total: int, want: int, *by: str) -> DataFrame:
+    """About twice ``want`` of ``total`` rows, chosen by a hash, so that a sorted sample of ``want`` moves no more than that
+    however many tasks there are. All rows where there are few."""
+    every = max(1, total // (2 * want))
+    return df.where(F.pmod(F.xxhash64(*by), F.lit(every)) == 0) if every > 1 else df
+
+
 def blank_null(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

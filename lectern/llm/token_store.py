@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blank_null, parts, shared_dir, ship
+from lectern.llm.common import blank_null, parts, shared_dir, ship, small_batches, staged, thinned
 from lectern.llm.encode import encoder
 
 #: The dictionary is trained on this many documents at most, of at most so many characters, chosen by a hash of doc_id.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 8192, 32_768
-SEGMENT_BYTES, SEGMENT_DOCS = 4_000_000, 4096
+SEGMENT_BYTES, SEGMENT_DOCS = 1_000_000, 1024
 MAGIC = b"LTK1"
 _HEAD = struct.Struct("<4sHHI32s")
 _ENTRY = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("n_tokens", "<u4"), ("start", "<u8"), ("length", "<u8")])
@@ -89,7 +89,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     own = docs.select("doc_id", blank_null("text").alias("text"))
     enc = encoder(tokenizer)
     width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    sample = own.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").collect()  # at most 512 * 8192 characters
+    few = thinned(own, docs.count(), SAMPLE_DOCS, "doc_id")
+    sample = few.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").collect()  # at most 512 * 8192 characters
     end = np.array([end_id], "<u4").tobytes()
     dictionary = train_dictionary([narrow(enc.encode(r["text"]) + end, width) for r in sample])
     digest = hashlib.sha256(dictionary).digest()
@@ -119,42 +120,52 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     # Many rows may share a doc_id: what follows it in the key lets a range boundary fall between them.
     dealt = own.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first(), "tie")
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
-    ordered.mapInArrow(run, "part int, segment int, n_docs long, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/segments")
+    with small_batches(spark):
+        ordered.mapInArrow(run, "part int, segment int, n_docs long, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/segments")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document from a store's files: doc_id, start (ids of all documents before it), n_tokens, ids (binary,
-    little-endian unsigned 32-bit)."""
+def _placed(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+    """start (ids before it), data of each segment of a store; its dictionary, of at most DICTIONARY_BYTES."""
     ship(spark)
-    dictionary = bytes(spark.read.parquet(f"{path}/dictionary").head()["data"])  # one row of at most DICTIONARY_BYTES
+    dictionary = bytes(spark.read.parquet(f"{path}/dictionary").head()["data"])
     segments = spark.read.schema("part int, segment int, n_docs long, n_tokens long, data binary").parquet(f"{path}/segments")
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     earlier = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = segments.select("part", "segment", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("inside")).join(bases, "part")
-    placed = segments.join(starts, ["part", "segment"]).select((F.col("base") + F.col("inside")).alias("start"), "data")
+    return segments.join(starts, ["part", "segment"]).select((F.col("base") + F.col("inside")).alias("start"), "data"), dictionary
+
+
+def _unpacked(spark: SparkSession, path: str, column: str, kind: pa.DataType, sql: str, of) -> DataFrame:
+    """A row a document: doc_id, start, n_tokens, and of(ids) as column. Segments are unpacked one by one where they lie."""
+    placed, dictionary = _placed(spark, path)
 
     def run(batches):
         for batch in batches:
-            for start, data in zip(batch["start"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                seg, rows = Segment(data, dictionary), []
+            for start, data in zip(batch["start"].to_pylist(), batch["data"], strict=True):
+                seg, rows = Segment(data.as_buffer(), dictionary), []
                 for i, e in enumerate(seg.index):
-                    rows.append((int(e["doc_id"]) if e["has_id"] else None, start, int(e["n_tokens"]), seg.ids(i).tobytes()))
+                    rows.append((int(e["doc_id"]) if e["has_id"] else None, start, int(e["n_tokens"]), of(seg.ids(i).tobytes())))
                     start += int(e["n_tokens"])
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), kind), strict=True)], names=["doc_id", "start", "n_tokens", column])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column} {sql}")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row a document from a store's files: doc_id, start (ids of all documents before it), n_tokens, ids (binary,
+    little-endian unsigned 32-bit)."""
+    return _unpacked(spark, path, "ids", pa.binary(), "binary", lambda ids: ids)
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """As read(), with ids_crc32 in place of ids."""
+    return _unpacked(spark, path, "ids_crc32", pa.int64(), "long", zlib.crc32)
 
 
 def export_then_digest(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Writes a store in the shared folder, reads it back and returns doc_id, start, n_tokens, ids_crc32."""
     path = f"{shared_dir(docs.sparkSession)}/lectern/tokens-{uuid.uuid4().hex}"
     write(docs, path, tokenizer, end_id)
-
-    def digest(batches):
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x) for x in batch["ids"].to_pylist()], pa.int64())
-            yield pa.record_batch([batch["doc_id"], batch["start"], batch["n_tokens"], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read(docs.sparkSession, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return staged(digests(docs.sparkSession, path), "digests")
