@@ -71,6 +71,26 @@ def parse_picks(raw: str | Column) -> Column:
     return F.transform(found, lambda p: F.struct(p["section_id"].alias("section_id"), F.coalesce(p["confidence"], F.lit("unknown")).alias("confidence"), F.coalesce(p["reason"], F.lit("")).alias("reason")))
 
 
+def parse_abstract(raw: str | Column, text: str | Column) -> Column:
+    """A model's description of a section in one line: description, key concepts and example questions, as far as its JSON
+    gives them; its own words if they're no JSON; the text's own abstract if there was no answer."""
+    found = F.from_json(X.unfence(raw), "description string, concepts array<string>, example_questions array<string>")
+    none = found["description"].isNull() & found["concepts"].isNull() & found["example_questions"].isNull()
+    part = lambda name, items, n, sep: F.when(F.size(items) > 0, F.concat(F.lit(name), F.array_join(F.slice(items, 1, n), sep)))
+    told = F.concat_ws(" | ", F.coalesce(found["description"], F.lit("")), part("Key concepts: ", found["concepts"], 10, ", "), part("Example questions: ", found["example_questions"], 2, "; "))
+    return F.when(F.coalesce(X.col(raw), F.lit("")) == "", X.abstract(text)).when(none, X.col(raw)).otherwise(told)
+
+
+def abstracts(sections: DataFrame, make_model: Callable[[], Model], first: int = 2000) -> DataFrame:
+    """sections (title, chapter, text and others) with abstract, from a model that reads the first characters of each."""
+    prompt = F.concat(
+        F.lit("Describe this section of a textbook for a study aid.\nTitle: "), F.coalesce("title", F.lit("")), F.lit("\nChapter: "), F.coalesce("chapter", F.lit("")), F.lit("\n\n"), F.substring("text", 1, first),
+        F.lit('\n\nReply with JSON alone: {"description": "two or three sentences", "concepts": ["five to ten terms"], "example_questions": ["two questions"]}'),
+    )
+    asked = ask(sections.withColumn("_prompt", prompt), make_model, "_prompt", "_answer")
+    return asked.withColumn("abstract", parse_abstract("_answer", "text")).drop("_prompt", "_answer")
+
+
 def enrich(answers: DataFrame, candidates: DataFrame, top_k: int = DEFAULTS.top_k) -> DataFrame:
     """answers (q_id, picks) to a row a pick that is a candidate, with the candidate's columns. The cut to top_k comes first,
     so unknown ids leave fewer; a repeated pick stays."""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.config import DEFAULTS
 from lectern.functions import text as X
@@ -49,6 +53,29 @@ def pending(plan: DataFrame, states: DataFrame) -> DataFrame:
     return plan.join(done, ["book_id", "chunk"], "left_anti")
 
 
+def run_chunks(chunks: DataFrame, make_runner: Callable[[], Callable[[str, int, int], str]]) -> DataFrame:
+    """Runs recognition of each chunk (book_id, chunk, first_page, last_page) and adds status and output. The runner, made
+    once a task, takes the book and its pages and returns the recognised blocks as JSON; it brings its own time limit, and
+    whatever it raises makes that chunk failed and leaves the others alone. Write the result and take pending() for a rerun.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runner = make_runner()
+
+        def one(book, first, last):
+            try:
+                return "success", runner(book, int(first), int(last))
+            except Exception:  # noqa: BLE001  one chunk's failure, of any kind, is its own
+                return "failed", None
+
+        for pdf in batches:
+            done = [one(*x) for x in zip(pdf["book_id"], pdf["first_page"], pdf["last_page"], strict=True)]
+            yield pdf.assign(status=[d[0] for d in done], output=[d[1] for d in done])
+
+    own = chunks.select("book_id", "chunk", "first_page", "last_page")
+    return own.mapInPandas(run, T.StructType([*own.schema.fields, T.StructField("status", T.StringType()), T.StructField("output", T.StringType())]))
+
+
 def chunk_states(states: DataFrame) -> DataFrame:
     """book_id, n_success, n_cached, n_failed, all_failed."""
     counts = {k: F.count_if(F.col("status") == k) for k in ("success", "cached", "failed")}

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -282,6 +283,16 @@ def test_ask(spark):
     assert {r.prompt: r.answer for r in got.collect()} == {"a": "A", "boom": None}
 
 
+def test_abstracts(spark):
+    def make():
+        said = {"A": '```json\n{"description": "d", "concepts": ["x", "y"], "example_questions": ["q?"]}\n```', "B": "plain words", "C": None}
+        return lambda prompt: said[re.search("Title: (.)", prompt)[1]]
+
+    secs = spark.createDataFrame([(t, None, "This is the text of the section itself. Short.") for t in "ABC"], "title string, chapter string, text string")
+    got = {r.title: r.abstract for r in routing.abstracts(secs, make).collect()}
+    assert got == {"A": "d | Key concepts: x, y | Example questions: q?", "B": "plain words", "C": "This is the text of the section itself."}
+
+
 def pack_model(texts, budget):
     out, left = [], budget
     for i, t in texts:
@@ -342,6 +353,17 @@ def test_scans(spark):
         assert [r.id for r in got] == sample_model(n)
     plan = scans.chunk_plan(spark.createDataFrame([("a", 120), ("b", 30), ("c", 0)], "book_id string, total_pages int"))
     assert rows(plan) == [("a", 0, 0, 49), ("a", 1, 50, 99), ("a", 2, 100, 119), ("b", 0, 0, 29)]
+
+    def make():
+        def runner(book, first, last):
+            if first == 50:
+                raise TimeoutError
+            return f"{book}:{first}-{last}"
+
+        return runner
+
+    ran = {(r.book_id, r.chunk): (r.status, r.output) for r in scans.run_chunks(plan, make).collect()}
+    assert ran == {("a", 0): ("success", "a:0-49"), ("a", 1): ("failed", None), ("a", 2): ("success", "a:100-119"), ("b", 0): ("success", "b:0-29")}
     states = spark.createDataFrame([("a", 0, "success"), ("a", 1, "failed"), ("b", 0, "failed")], "book_id string, chunk int, status string")
     assert rows(scans.pending(plan, states).select("book_id", "chunk")) == [("a", 1), ("a", 2), ("b", 0)]
     assert rows(scans.chunk_states(states)) == [("a", 1, 0, 1, False), ("b", 0, 0, 1, True)]
