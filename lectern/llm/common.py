@@ -22,9 +22,14 @@ ALNUM_BYTES = bytes(
 )
 
 
+#: Workers are used again by later stages: what one frees should go back to the machine, not into pools.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers of a local session import this package; on a cluster it's installed or passed with --py-files."""
     env = spark.sparkContext.environment
+    env.update({k: v for k, v in WORKER_ENV.items() if k not in env})
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from lectern.llm.common import ALNUM_BYTES, ship
 
 WINDOW = 13
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 750_000
 #: Suffix positions kept in the index: every so many words.
 SAMPLE = 16
 #: Benchmark text that goes to the executors at once; more is searched in several blocks.

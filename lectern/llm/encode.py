@@ -15,8 +15,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries kept per worker; beyond it the table of whole pieces starts anew. Only memory depends on it.
-KEPT = 400_000
+#: Entries kept per worker; beyond it the table of units starts anew. Only memory depends on it.
+KEPT = 200_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: White space other than blank and line feed: there the cuts below aren't safe.
@@ -24,7 +24,7 @@ _ODD_SPACE = re.compile("[\t\x0b\f\r\x1c-\x1f\x85\xa0  -​    　
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _PLAIN = re.compile(rf"[ \n!-~{_LATIN}]*\Z")
 _BYTE_RULE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[0-9]+| ?[^ \n{_LATIN}0-9]+|[ \n]+(?![^ \n])|[ \n]+")
-_WORD_RULE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+_WORD_RULE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LATIN}]+|[0-9]|[^ \n{_LATIN}0-9]+")
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -38,34 +38,23 @@ _ALPHABET = _byte_alphabet()
 _BLANK = chr(_ALPHABET[0x20])
 
 
-class _Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit bytes."""
+class _Units(dict):
+    """unit -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, tokenizer, rule, fold: bool):
-        self.tokenizer, self.model, self.rule, self.fold, self.units = tokenizer, tokenizer.model, rule, fold, {}
+    def __init__(self, model):
+        self.model = model
 
-    def __missing__(self, piece: str) -> bytes:
-        if self.rule and _PLAIN.match(piece):
-            text = piece.lower() if self.fold else piece
-            out = b"".join([self.units.get(u) or self._unit(u) for u in self.rule.findall(text)])
-        else:
-            out = whole(self.tokenizer, piece)
-        if len(self) >= KEPT:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
-
-    def _unit(self, unit: str) -> bytes:
+    def __missing__(self, unit: str) -> bytes:
         spelled = unit[1:] if unit[0] == " " else unit
         if not (spelled.isascii() and spelled.isprintable() and " " not in spelled):
             spelled = unit.encode().decode("latin-1").translate(_ALPHABET)
         elif spelled is not unit:
             spelled = _BLANK + spelled
         out = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(spelled)])}I", *ids)
-        if len(self.units) >= KEPT:
-            self.units.clear()
-        self.units[unit] = out
+        if len(self) >= KEPT:
+            self.clear()
+        if len(unit) <= 64:
+            self[unit] = out
         return out
 
 
@@ -88,16 +77,22 @@ class Encoder:
         safe = model["type"] == "BPE" and not model.get("dropout") and all(t.get("special") for t in spec.get("added_tokens", []))
         byte = safe and spec.get("normalizer") is None and splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
         word = safe and [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits.get("pretokenizers", [])] == ["Split", "ByteLevel"]
-        #: Ids of a text without white space odd enough for the whole-text way.
-        self.cut = _SPACED.findall if byte else str.split if word else None
-        self.pieces = _Pieces(self.tokenizer, _BYTE_RULE if byte else _WORD_RULE, bool(word)) if byte or word else None
+        self.rule, self.fold = (_BYTE_RULE if byte else _WORD_RULE if word else None), bool(word)
+        #: Cuts that no token crosses, as long as white space is blanks and line feeds.
+        self.cut = _SPACED.findall if byte else str.split
+        self.units = _Units(self.tokenizer.model)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        if self.pieces is None or _ODD_SPACE.search(text):
+        if self.rule is None or _ODD_SPACE.search(text):
             return whole(self.tokenizer, text)
-        pieces = self.pieces
-        return b"".join([pieces[p] for p in self.cut(text)])
+        if _PLAIN.match(text):
+            return self._plain(text)
+        return b"".join([self._plain(p) if _PLAIN.match(p) else whole(self.tokenizer, p) for p in self.cut(text)])
+
+    def _plain(self, text: str) -> bytes:
+        units = self.units
+        return b"".join([units[u] for u in self.rule.findall(text.lower() if self.fold else text)])
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -24,7 +24,7 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Up to so many candidate nodes (about 40 bytes each) are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_NODES = 200_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
