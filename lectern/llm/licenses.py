@@ -4,10 +4,14 @@ A block is a line. A template's label is given to a document if one of its block
 distinct words. Template words are put in order of corpus frequency, rarest first. A block that reaches the threshold must
 hold one of the first words of that order (the prefix), must be long enough, and from the place of the first word it holds
 enough of the order must be left; blocks that pass these filters are compared in full, so none is missed.
+
+A statement that is broken over lines is in no block of this kind. With wrapped=True, runs of words across lines are blocks
+as well: every run as long as the template with a fifth more words, and no longer.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -60,6 +64,12 @@ def needed(n: int) -> int:
     return -(-n * THRESHOLD[0] // THRESHOLD[1])
 
 
+def window(statement: str) -> int:
+    """Words of a run across lines that is compared with a statement; the fifth more leaves room for comment marks."""
+    n = len(words(statement.encode()))
+    return n + n // 5
+
+
 def word_blocks(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """word, blocks: in how many blocks of the corpus each template word stands; a row a template word at most."""
     ship(docs.sparkSession)
@@ -89,13 +99,12 @@ class Join:
             for place, w in enumerate(order[: len(order) - need + 1]):
                 self.prefix.setdefault(w, []).append((t, place))
 
-    def labels(self, block: set[bytes]) -> dict[str, float]:
-        """label -> largest share of a template found in the block."""
-        out: dict[str, float] = {}
+    def found(self, block: set[bytes]):
+        """(template, share) of the templates that the block holds enough of."""
         tried = set()
         for w in self.prefix.keys() & block:
             for t, place in self.prefix[w]:
-                label, own, n, need = self.templates[t]
+                _, own, n, need = self.templates[t]
                 # the first word of the order that the block holds stands at this place or before it
                 if t in tried or len(block) < need:
                     continue
@@ -104,9 +113,33 @@ class Join:
                 tried.add(t)
                 both = len(own & block)
                 if both >= need:
-                    out[label] = max(out.get(label, 0.0), both / n)
+                    yield t, both / n
+
+    def labels(self, block: set[bytes]) -> dict[str, float]:
+        """label -> largest share of a template found in the block."""
+        out: dict[str, float] = {}
+        for t, share in self.found(block):
+            label = self.templates[t][0]
+            out[label] = max(out.get(label, 0.0), share)
         return out
 
+    def runs(self, own: list[bytes], widths: list[int]):
+        """(place, label, share) of the runs of a template's width, from one of its words on, that hold enough of it."""
+        for t, _ in self.found(set(own)):
+            label, wanted, n, need = self.templates[t]
+            places = [i for i, w in enumerate(own) if w in wanted]
+            inside: Counter[bytes] = Counter()
+            end = 0
+            for at in places:
+                while end < len(places) and places[end] < at + widths[t]:
+                    inside[own[places[end]]] += 1
+                    end += 1
+                if len(inside) >= need:
+                    yield at, label, len(inside) / n
+                inside[own[at]] -= 1
+                if not inside[own[at]]:
+                    del inside[own[at]]
+
 
 def phrase_places(own: list[bytes], phrases) -> list[tuple[int, str]]:
     out = []
@@ -122,17 +155,18 @@ def phrase_places(own: list[bytes], phrases) -> list[tuple[int, str]]:
     return out
 
 
-def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, wrapped: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and blocks, the
     lines (from 0) with the label of a template and the share of its words.
 
     n_base counts the places of the base phrases over the whole text, first_word and last_word are their smallest and
     largest start. labels joins the templates' labels and the base ones. score is 1 with a base phrase, else the largest
     share of an accepted template, else 0. A null or empty text has no words. Null and repeated ids and repeated rows are
-    scanned one by one; other columns are ignored; an empty table gives no row.
+    scanned one by one; other columns are ignored; an empty table gives no row. wrapped: statements broken over lines count
+    too; blocks has the lines on which runs that hold one begin.
     """
     ship(docs.sparkSession)
-    sets = word_sets(templates)
+    sets, widths = word_sets(templates), [window(text) for _, text in templates]
     frequency = {r["word"].encode(): r["blocks"] for r in word_blocks(docs, templates).collect()}  # a row a template word
     phrases = [(tuple(p.encode().split()), label) for p, label in PHRASES.items()]
 
@@ -144,11 +178,19 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
                 own = words(text)
                 places = [] if starters.isdisjoint(own) else phrase_places(own, phrases)
-                blocks = []
+                shares: dict[tuple[int, str], float] = {}
                 if not marks.isdisjoint(own):
+                    ends = []
                     for i, line in enumerate(text.split(b"\n")):
-                        for label, share in join.labels(set(words(line))).items():
-                            blocks.append({"line": i, "label": label, "share": share})
+                        block = words(line)
+                        ends.append((ends[-1] if ends else 0) + len(block))
+                        for label, share in join.labels(set(block)).items():
+                            shares[i, label] = share
+                    if wrapped and len(ends) > 1:
+                        for at, label, share in join.runs(own, widths):
+                            key = bisect_right(ends, at), label
+                            shares[key] = max(shares.get(key, 0.0), share)
+                blocks = [{"line": i, "label": label, "share": share} for (i, label), share in sorted(shares.items())]
                 base = {x[1] for x in places}
                 score = 1.0 if base else max((x["share"] for x in blocks), default=0.0)
                 starts = [x[0] for x in places]

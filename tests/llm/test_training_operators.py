@@ -94,6 +94,42 @@ def test_licenses(spark, big):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def wrapped_model(text):
+    """Every run of a template's width across all words, besides the lines."""
+    n_words, n_base, first, last, base, labels, score = license_model(text)
+    own, found = alnum(text), set(filter(None, labels.split(",")))
+    for label, statement in licenses.TEMPLATES:
+        t, width = set(alnum(statement)), licenses.window(statement)
+        for i in range(len(own)):
+            both = len(t & set(own[i : i + width]))
+            if 10 * both >= 9 * len(t):
+                found.add(label)
+                score = max(score, both / len(t))
+    return n_words, n_base, first, last, base, ",".join(sorted(found)), score
+
+
+def test_wrapped_licenses(spark):
+    rng = random.Random(1)
+    rows = [
+        (1, "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated files"),
+        (2, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
+        (3, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."),
+        (4, "Licensed under the Apache License\nVersion 2.0"),
+        (5, "Licensed under the Apache License\n" + "some other words in between\n" * 3 + "Version 2.0"),
+        (6, None),
+    ]
+    for k, (_, s) in enumerate(licenses.TEMPLATES * 6):
+        own = s.split()
+        del own[rng.randrange(len(own))]
+        for _ in range(rng.randrange(4)):
+            own.insert(rng.randrange(len(own)), "rem")
+        rows.append((100 + k, "".join(["the x\n", *(w + rng.choice(" \n") for w in own), "\nof the end"])))
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows), wrapped=True).collect()}
+    assert {i: tuple(got[i])[1:8] for i in got} == {i: wrapped_model(t) for i, t in rows}
+    assert [got[i].labels for i in range(1, 7)] == ["mit", "bsd", "mpl-2.0", "apache-2.0", "", ""]
+    assert [tuple(b) for b in got[4].blocks] == [(0, "apache-2.0", 1.0)]
+
+
 # 2
 
 
