@@ -14,6 +14,8 @@ from lectern.llm.common import blank_null, ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: What may stand in a head; any other element ends it.
+IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
 HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
 #: Blocks with a blank line around them, and those with a line break alone.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset details".split())
@@ -60,6 +62,8 @@ def parse(page: str) -> Node:
         tag = m[2]
         if tag is None:
             if (text := m[0])[:2] not in ("<!", "<?"):
+                if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                    stack.pop()
                 stack[-1].children.append(text)
             continue
         tag = tag.lower()
@@ -71,6 +75,11 @@ def parse(page: str) -> Node:
                 if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th"):
                     break
             continue
+        if stack[-1].tag == "head":
+            if tag == "head":
+                continue
+            if tag not in IN_HEAD:
+                stack.pop()
         if tag in ENDS:
             _imply(stack, *ENDS[tag])
         if tag in _P_ENDERS:

@@ -443,6 +443,19 @@ def test_html(spark, html, text):
     assert html_text.extract(df).first().text == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"),
+        ("<head><meta charset=x><style>s</style> \n Hello <b>you</b>", "Hello you"),
+        ("<head><head><title>T</title><noscript><img alt=no></noscript><script>s</script></head><body>b", "b"),
+        ("<head><link rel=x><div>a</div></head><title>T</title><p>b", "a\n\nb"),
+    ],
+)
+def test_open_head(html, text):
+    assert html_text.page_text(html) == text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<pre>", "</pre>", "<blockquote>", "</blockquote>", "<dd>", "<b", "'", ">", "x", " y ", "&lt;", "<br/>", "<script>", "</div>", "<td/>", "</td>", "<!--"]), max_size=25).map("".join))
 def test_html_never_fails(html):
