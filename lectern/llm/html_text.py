@@ -16,7 +16,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: What may stand in a head; any other element ends it.
 IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist".split())
+#: Parts of svg and math elements that aren't drawn; elsewhere these are unknown names, which are shown.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+#: Parts of them that stand apart from what is before and after.
+APART = frozenset("text mtr mtd".split())
 #: Blocks with a blank line around them, and those with a line break alone.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset details".split())
 BLOCKS = SPACED | frozenset("html body div section article aside header footer nav main form address li dt dd tr caption figcaption legend summary thead tbody tfoot center option".split())
@@ -86,7 +90,7 @@ def parse(page: str) -> Node:
             _imply(stack, ("p",), _P_BOUNDS)
         node = Node(tag, m[3])
         stack[-1].children.append(node)
-        if tag in RAW:
+        if tag in RAW and not (m[3].endswith("/") and any(x.tag in ("svg", "math") for x in stack)):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
@@ -184,7 +188,7 @@ def render(root: Node) -> str:
     page = Page()
     tables: list[tuple[Page, list[list[str]]]] = []
     lists: list[list] = []
-    pre = 0
+    pre = drawn = 0
     todo: list = [("in", root)]
     while todo:
         step, x = todo.pop()
@@ -193,7 +197,7 @@ def render(root: Node) -> str:
                 page.pre(x) if pre else page.text(x)
                 continue
             tag = x.tag
-            if not visible(x):
+            if not visible(x) or (drawn and tag in UNDRAWN):
                 continue
             if tag == "br":
                 page.end_line(keep=bool(page.open) and pre > 0)
@@ -207,6 +211,10 @@ def render(root: Node) -> str:
                 continue
             todo.append(("out", x))
             todo += [("in", c) for c in reversed(x.children)]
+            if tag in ("svg", "math"):
+                drawn += 1
+            elif drawn and tag in APART:
+                page.text(" ")
             if tag in ("td", "th") and tables:
                 if not tables[-1][1]:
                     tables[-1][1].append([])
@@ -241,6 +249,10 @@ def render(root: Node) -> str:
                 page.end_line()
             continue
         tag = x.tag
+        if tag in ("svg", "math"):
+            drawn -= 1
+        elif drawn and tag in APART:
+            page.text(" ")
         if tag in ("td", "th") and tables:
             outer, _ = tables.pop()
             cell = page.done()

@@ -456,6 +456,20 @@ def test_open_head(html, text):
     assert html_text.page_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds", "so x=2 holds"),
+        ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text>North</text><text>South</text></svg>", "North South"),
+        ("a<svg><title/><style/><path d='M0'/></svg>b", "ab"),
+        ("<select><option>red<option>green</select>", "red\ngreen"),
+        ("<datalist><option>no</datalist><desc>shown</desc>", "shown"),
+    ],
+)
+def test_drawn_text(html, text):
+    assert html_text.page_text(html) == text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<pre>", "</pre>", "<blockquote>", "</blockquote>", "<dd>", "<b", "'", ">", "x", " y ", "&lt;", "<br/>", "<script>", "</div>", "<td/>", "</td>", "<!--"]), max_size=25).map("".join))
 def test_html_never_fails(html):
