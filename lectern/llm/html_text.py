@@ -40,8 +40,10 @@ ENDS = {
 }
 _P_ENDERS = BLOCKS - frozenset("li dt dd tr caption thead tbody tfoot option html body".split())
 _P_BOUNDS = frozenset("td th table li blockquote div section article body".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: An attribute's name and value; quotes count only where a value begins.
+_NAME, _VALUE = r"(?:=[^\s/>=]*+|[^\s/>=]++)", r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE}?+)?+)*+)>|[^<]+|<", re.S)
+_ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?+)?+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -53,7 +55,7 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
     def attributes(self) -> dict[str, str]:
-        return {k.lower(): unescape((v or "").strip("\"'")) for k, v in _ATTR.findall(self.attrs)}
+        return {k.lower(): unescape(v[1:-1] if v[:1] in ("'", '"') else v) for k, v in _ATTR.findall(self.attrs)}
 
 
 def parse(page: str) -> Node:

@@ -470,6 +470,22 @@ def test_drawn_text(html, text):
     assert html_text.page_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<a title=it's>Bob</a> said it doesn't. <b>x", "Bob said it doesn't. x"),
+        ("<a title='it's hidden'>shown</a>", "shown"),
+        ("<a x=5\">one</a> is 5\" <i>two</i>", "one is 5\" two"),
+        ("<p title = \"a > b\" id='>'>text", "text"),
+        ("<p style=display:none>no</p><p =' hidden>no</p><p class= >yes", "yes"),
+        ("<a title=\"open>kept", "kept"),
+        ("<img alt=\"it's\"><img alt=o'clock>", "it's o'clock"),
+    ],
+)
+def test_quotes_in_tags(html, text):
+    assert html_text.page_text(html) == text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<pre>", "</pre>", "<blockquote>", "</blockquote>", "<dd>", "<b", "'", ">", "x", " y ", "&lt;", "<br/>", "<script>", "</div>", "<td/>", "</td>", "<!--"]), max_size=25).map("".join))
 def test_html_never_fails(html):
