@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import blank_null, parts, ship, staged, thinned
 
 ROLES = ("system", "user", "assistant")
-#: The model is fitted on so many labelled rows at most, of at most so many lines, chosen by a hash of conv_id.
-SAMPLE_ROWS, SAMPLE_LINES = 20_000, 200
+#: The model is fitted on so many labelled rows at most, of at most so many lines, chosen by a hash of conv_id and the block
+#: of so many turns.
+SAMPLE_ROWS, SAMPLE_LINES, SAMPLE_TURNS = 20_000, 200, 100
 #: Units decoded together at most.
 CHUNK = 20_000
 
@@ -81,18 +82,21 @@ class Model:
 
 
 def fit(rows: list[tuple]) -> Model:
-    """From labelled units (conv_id, role, codes) in order. Counts start at one; a marker counts strongly for its own role."""
+    """From labelled units (conv_id, role, codes, joined) in order; not joined: what comes before it is not in the sample.
+    Counts start at one; a marker counts strongly for its own role."""
     n = len(ROLES)
     start, step, features = np.ones(n), np.ones((n, n)), [np.ones((size, n)) for size in SIZES]
     for role, marked in enumerate((1, 2, 3)):
         features[0][marked, role] += 100
     before = {}
-    for conv_id, role, codes in rows:
+    for conv_id, role, codes, joined in rows:
         if role not in ROLES:
             before.pop(conv_id, None)
             continue
         r = ROLES.index(role)
-        if conv_id in before:
+        if not joined:
+            pass
+        elif conv_id in before:
             step[before[conv_id], r] += 1
         else:
             start[r] += 1
@@ -179,16 +183,34 @@ def split_units(conversations: DataFrame) -> DataFrame:
 
 
 def train(own: DataFrame) -> Model:
-    """Fits on a bounded sample of units whose role is given; segments after a marker inside a row are left out."""
-    rows = (
-        thinned(own, own.count(), SAMPLE_ROWS, "conv_id")
-        .where(F.col("role").isin(*ROLES) & (F.col("segment") == 0) & (F.size("codes") <= SAMPLE_LINES))
-        .orderBy(F.xxhash64("conv_id"), "conv_id", "chunk", "pos")
-        .select("conv_id", "role", "codes")
-        .limit(SAMPLE_ROWS)
-        .collect()
-    )
-    return fit([tuple(r) for r in rows])
+    """Fits on a bounded sample of units whose role is given; segments after a marker inside a row are left out.
+
+    The sample has SAMPLE_ROWS units wherever there are as many: if the blocks that the hash picks hold fewer, more are picked.
+    """
+    usable = F.col("role").isin(*ROLES) & (F.col("segment") == 0) & (F.size("codes") <= SAMPLE_LINES)
+    labelled = own.where(usable).select("conv_id", F.floor(F.col("turn") / SAMPLE_TURNS).alias("block"), "chunk", "pos", "role", "codes")
+    total = share = labelled.count()
+    while True:
+        some = thinned(labelled, share, SAMPLE_ROWS, "conv_id", "block")
+        rows = some.orderBy(F.xxhash64("conv_id", "block"), "conv_id", "block", "chunk", "pos").limit(SAMPLE_ROWS).collect()
+        if len(rows) == min(total, SAMPLE_ROWS):
+            break
+        share //= 2
+    rows.sort(key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.chunk, r.pos))
+    if len(rows) == total:
+        return fit([(r.conv_id, r.role, r.codes, True) for r in rows])
+    # null turns come first
+    least = F.min(F.struct(F.col("block").isNotNull(), "block"))["block"].alias("block")
+    convs = own.sparkSession.createDataFrame([(c,) for c in {r.conv_id for r in rows}], "picked long")
+    heads = labelled.join(F.broadcast(convs), F.col("conv_id").eqNullSafe(F.col("picked")), "left_semi").groupBy("conv_id").agg(least)
+    head = {r.conv_id: r.block for r in heads.collect()}  # at most SAMPLE_ROWS conversations
+    out, last = [], {}
+    for r in rows:
+        before = last.get(r.conv_id, ())
+        joined = r.block == head[r.conv_id] if before == () else r.block == before or (None not in (r.block, before) and r.block == before + 1)
+        out.append((r.conv_id, r.role, r.codes, joined))
+        last[r.conv_id] = r.block
+    return fit(out)
 
 
 def recover(conversations: DataFrame, model: Model | None = None) -> DataFrame:

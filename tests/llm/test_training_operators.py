@@ -408,6 +408,27 @@ def test_chat_roles(spark):
     assert chat.recover(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["few labels", "one conversation", "no turns"])
+def test_sample_of_labelled_rows(spark, monkeypatch, kind):
+    if kind == "few labels":
+        rows = [(c, t, "user" if t % 2 == 0 else "assistant") if c % 20 == 0 else (c, t, None) for c in range(400) for t in range(10)]
+    else:
+        rows = [(7, t if kind == "one conversation" else None, "user" if t % 2 == 0 else "assistant") for t in range(3000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string")
+    fitted, fit = [], chat.fit
+    monkeypatch.setattr(chat, "SAMPLE_ROWS", 120)
+    monkeypatch.setattr(chat, "SAMPLE_TURNS", 9)
+    monkeypatch.setattr(chat, "fit", lambda sample: fitted.extend(sample) or fit(sample))
+    model = chat.train(chat.split_units(df).cache())
+    assert len(fitted) == 120
+    step = np.exp(model.step)
+    if kind == "one conversation":  # runs of nine turns: what is not next to each other must not count as a step
+        assert 0 < sum(not joined for *_, joined in fitted) < 120
+        assert step[1, 2] > 10 * step[1, 1] and step[2, 1] > 10 * step[2, 2]
+        starts = np.exp(model.start) / np.exp(model.start).min()
+        assert starts.sum() < 4.5
+
+
 def test_chunks_do_not_change_roles(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["a?", "b " * 80, "- c", "AI: d", ""])) for c in range(4) for t in range(60)]
