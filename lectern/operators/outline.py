@@ -64,11 +64,12 @@ def _before(rows: int | None = -1):
     return Window.partitionBy("book_id").orderBy("toc_idx").rowsBetween(Window.unboundedPreceding, rows)
 
 
-def parents(toc: DataFrame, levels: int = 6) -> DataFrame:
-    """toc with parent_idx: the nearest earlier entry of a lower level; null at level 1. Levels above ``levels`` count as it."""
-    level = F.least("level", F.lit(levels))
-    last = [F.when(level > k, F.last(F.when(F.col("level") == k, F.col("toc_idx")), ignorenulls=True).over(_before())) for k in range(1, levels)]
-    return toc.withColumn("parent_idx", F.greatest(*last, F.lit(None).cast("int")) if len(last) > 1 else last[0])
+def parents(toc: DataFrame) -> DataFrame:
+    """toc with parent_idx: the nearest earlier entry of a lower level; null at level 1. The levels are read from the data."""
+    levels = sorted(r.level for r in toc.select("level").distinct().where("level is not null").collect())
+    last = [F.when(F.col("level") > max(k, 1), F.last(F.when(F.col("level") == k, F.col("toc_idx")), ignorenulls=True).over(_before())) for k in levels[:-1]]
+    none = F.lit(None).cast("int")
+    return toc.withColumn("parent_idx", F.greatest(*last, none, none))
 
 
 def chapters(toc: DataFrame, own_counts: bool = False) -> DataFrame:
@@ -111,18 +112,23 @@ def flatten(nodes: DataFrame, depth: int = 8) -> DataFrame:
     """Candidates of a forest (book_id, node_id, parent_id, ord, title) in pre-order: adds chapter_title (the root's title),
     parent_title, depth, path and is_deprioritized. Structural sections are left out, but not what is below them.
 
-    Every node looks one ancestor further up at a time, ``depth`` of them at most; deeper nodes and cycles are left out.
+    Every node looks one ancestor further up at a time; after ``depth`` of them the rest are counted, and it goes on while any
+    of them comes to its root. What then remains is on a cycle or below one, and is left out.
     """
     up = nodes.select(F.col("book_id").alias("up_book"), F.col("node_id").alias("up_id"), F.col("title").alias("up_title"), F.col("ord").alias("up_ord"), F.col("parent_id").alias("next"))
     out = nodes.select("book_id", "node_id", "title", F.col("title").alias("chapter_title"), F.lit("").alias("parent_title"), F.array("ord").alias("path"), F.col("parent_id").alias("above"))
     found = F.col("up_id").isNotNull()
-    for k in range(depth):
-        out = out.join(up, F.expr("book_id = up_book and above = up_id"), "left").select(
-            "book_id", "node_id", "title",
-            F.when(found, F.col("up_title")).otherwise(F.col("chapter_title")).alias("chapter_title"),
-            (F.when(found, F.col("up_title")).otherwise("") if k == 0 else F.col("parent_title")).alias("parent_title"),
-            F.when(found, F.concat(F.array("up_ord"), "path")).otherwise(F.col("path")).alias("path"),
-            F.col("next").alias("above"),
-        )
+    left, before, k = None, None, 0
+    while left is None or (left and left != before):
+        for k in range(k, k + depth):
+            out = out.join(up, F.expr("book_id = up_book and above = up_id"), "left").select(
+                "book_id", "node_id", "title",
+                F.when(found, F.col("up_title")).otherwise(F.col("chapter_title")).alias("chapter_title"),
+                (F.when(found, F.col("up_title")).otherwise("") if k == 0 else F.col("parent_title")).alias("parent_title"),
+                F.when(found, F.concat(F.array("up_ord"), "path")).otherwise(F.col("path")).alias("path"),
+                F.col("next").alias("above"),
+            )
+        k += 1
+        before, left = left, out.where("above is not null").count()
     out = out.where("above is null").drop("above")
     return out.where(routable("node_id")).withColumns({"depth": F.size("path"), "is_deprioritized": supplementary("title")})

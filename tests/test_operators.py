@@ -85,6 +85,21 @@ def test_flatten_and_children(spark):
     assert {r.parent_id: r.children for r in outline.children(nodes).collect()} == {"root": ["x", "contents"], "x": ["kid"], "contents": ["under"]}
 
 
+def test_deep_outlines(spark):
+    levels = [1, 3, 5, 6, 7, 9, 8, 7, 2, 12, 1]
+    toc = spark.createDataFrame([("b", i, x) for i, x in enumerate(levels)], "book_id string, toc_idx int, level int")
+    want = [max((j for j in range(i) if levels[j] < x), default=None) for i, x in enumerate(levels)]
+    assert [r.parent_idx for r in outline.parents(toc).orderBy("toc_idx").collect()] == want
+    assert [r.parent_idx for r in outline.parents(toc.where("level = 1")).collect()] == [None, None]
+    assert outline.parents(toc.limit(0)).count() == 0
+    chain = [("w", f"n{i}", f"n{i - 1}" if i else None, i, f"T{i}") for i in range(12)]
+    ring = [("w", "p0", "p1", 0, "P"), ("w", "p1", "p0", 0, "P"), ("w", "p2", "p1", 0, "below")]
+    nodes = spark.createDataFrame(chain + ring, "book_id string, node_id string, parent_id string, ord int, title string")
+    for depth in (3, 8):
+        got = {r.node_id: (r.chapter_title, r.parent_title, r.depth, r.path) for r in outline.flatten(nodes, depth).collect()}
+        assert got == {f"n{i}": ("T0", f"T{i - 1}" if i else "", i + 1, list(range(i + 1))) for i in range(12)}
+
+
 def test_fonts(spark):
     cols = "book_id string, page int, block int, line int, span int, text string, size double, flags int, font string"
     spans = spark.createDataFrame([("b", 0, 0, 0, 0, "Big ", 18.1, 0, "T"), ("b", 0, 0, 0, 1, "Title", 18.1, 0, "T"), ("b", 0, 0, 1, 0, "body text that is long", 10.1, 0, "T"), ("b", 0, 0, 2, 0, "Bold one", 10.6, 16, "T"), ("b", 0, 0, 3, 0, "ab", 20.0, 0, "T"), ("b", 0, 0, 4, 0, "∑∏√", 10.0, 0, "T"), ("b", 0, 0, 5, 0, "x (1.2)", 10.0, 0, "CMMI7")], cols)
