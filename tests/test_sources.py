@@ -69,6 +69,26 @@ def test_ingest(spark, tmp_path):
     assert run() == {"b": 2, "c": 1}
 
 
+def test_book_in_several_batches(spark, tmp_path):
+    pages, out = str(tmp_path / "pages"), str(tmp_path / "out")
+
+    def build(df):
+        return outline.regex_headings(df).select("book_id", "page", "title")
+
+    def add(*rows):
+        spark.createDataFrame(list(rows), "book_id string, page int, text string").coalesce(1).write.mode("append").parquet(pages)
+
+    def run():
+        ingest.ingest(ingest.new_pages(spark, pages, 1), build, out, str(tmp_path / "cp")).awaitTermination()
+        return sorted((r.book_id, r.page, r.title) for r in spark.read.parquet(out).collect())
+
+    add(("b", 0, "1 Intro"), ("c", 0, "Chapter 3"))
+    add(("b", 1, "2 Next"))
+    assert run() == [("b", 0, "1 Intro"), ("b", 1, "2 Next"), ("c", 0, "Chapter 3")]
+    add(("b", 1, "2 Changed"))
+    assert run() == [("b", 0, "1 Intro"), ("b", 1, "2 Changed"), ("c", 0, "Chapter 3")]
+
+
 def test_thread_activity(spark, tmp_path):
     path = str(tmp_path / "m")
     df = spark.createDataFrame([("t", 0), ("t", 60), ("u", 86_400 * 3)], "thread_id string, s long").select("thread_id", F.timestamp_seconds("s").alias("created_at"))
