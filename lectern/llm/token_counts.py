@@ -8,15 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blank_null, ship
+from lectern.llm.common import bases, blank_null, ranged, ship, staged
 from lectern.llm.encode import encoder
 
-#: Lengths that share a block of the two-level sums.
-BLOCK = 1024
-
 
 def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """length, n_docs: documents (null text: empty, of length 0) by encoded length. Each task counts its own first."""
+    """length, n_docs: documents (null text: empty, of length 0) by encoded length. Each task counts its own first; the
+    result is staged, so that texts are encoded once whatever is asked of it."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -27,35 +25,27 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["length", "n_docs"])
 
     own = docs.select(blank_null("text").alias("text")).mapInArrow(run, "length long, n_docs long")
-    return own.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return staged(own.groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "histogram")
 
 
 def limits(histogram: DataFrame) -> DataFrame:
     """For every length that occurs, taken as a context limit: docs_fit (of at most that length), docs_over, tokens_fit,
     truncated_total (tokens left if every document is cut there), share_fit (the quantile of that length).
 
-    Sums run in blocks of lengths, then over the blocks' totals, so that no task holds all lengths.
-    An empty histogram gives no row.
+    Lengths lie in range partitions; sums run within one and over the totals of those before it, so that no task holds all
+    lengths. An empty histogram gives no row.
     """
-    h = histogram.select((F.col("length") / BLOCK).cast("long").alias("block"), "length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"))
-    totals = h.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("n_tokens").alias("block_tokens"))
-    earlier = Window.partitionBy().orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    bases = totals.select(
-        "block",
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"base_{c[6:]}") for c in ("block_docs", "block_tokens")],
-        *[F.sum(c).over(whole).alias(f"all_{c[6:]}") for c in ("block_docs", "block_tokens")],
-    )
-    upto = Window.partitionBy("block").orderBy("length").rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged(histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens")), "lengths", F.col("length"))
+    upto = Window.partitionBy("part").orderBy("length").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        h.withColumns({"in_docs": F.sum("n_docs").over(upto), "in_tokens": F.sum("n_tokens").over(upto)})
-        .join(bases, "block")
-        .withColumns({"docs_fit": F.col("base_docs") + F.col("in_docs"), "tokens_fit": F.col("base_tokens") + F.col("in_tokens")})
-        .withColumn("docs_over", F.col("all_docs") - F.col("docs_fit"))
+        own.withColumns({"in_docs": F.sum("n_docs").over(upto), "in_tokens": F.sum("n_tokens").over(upto)})
+        .join(F.broadcast(bases(own, docs=F.sum("n_docs"), tokens=F.sum("n_tokens"))), "part")
+        .withColumns({"docs_fit": F.col("docs_base") + F.col("in_docs"), "tokens_fit": F.col("tokens_base") + F.col("in_tokens")})
+        .withColumn("docs_over", F.col("docs_all") - F.col("docs_fit"))
         .select(
             "length", "n_docs", "n_tokens", "docs_fit", "docs_over", "tokens_fit",
             (F.col("tokens_fit") + F.col("length") * F.col("docs_over")).alias("truncated_total"),
-            (F.col("docs_fit") / F.col("all_docs")).alias("share_fit"),
+            (F.col("docs_fit") / F.col("docs_all")).alias("share_fit"),
         )
     )
 
