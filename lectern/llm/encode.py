@@ -1,12 +1,13 @@
 """Exact and fast encoding with the vocabulary files of public tokenizers.
 
 A text is cut where no token can cross, each piece is encoded once and kept, so common words cost a dictionary look-up.
-The result equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` with ``encode_special_tokens`` set; texts that
-the shortcuts don't cover go to that call as they are.
+The result equals ``Tokenizer.encode(text, add_special_tokens=False).ids``; texts that the shortcuts don't cover, such as those
+that spell a special token, go to that call as they are.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -71,12 +72,14 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         splits = spec.get("pre_tokenizer") or {}
         model = spec["model"]
         safe = model["type"] == "BPE" and not model.get("dropout") and all(t.get("special") for t in spec.get("added_tokens", []))
         byte = safe and spec.get("normalizer") is None and splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
         word = safe and [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        #: A text with an added token's spelling, in whatever case, isn't cut.
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"]]
+        self.special = re.compile("|".join(added), re.I).search if added else lambda text: None
         self.rule, self.fold = (_BYTE_RULE if byte else _WORD_RULE if word else None), bool(word)
         #: Cuts that no token crosses, as long as white space is blanks and line feeds.
         self.cut = _SPACED.findall if byte else str.split
@@ -84,7 +87,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        if self.rule is None or _ODD_SPACE.search(text):
+        if self.rule is None or _ODD_SPACE.search(text) or self.special(text):
             return whole(self.tokenizer, text)
         if _PLAIN.match(text):
             return self._plain(text)
@@ -103,3 +106,10 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Gives back what encoder() keeps, in a worker that goes on to other work."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()

@@ -6,9 +6,10 @@ Segment layout (little-endian):
     index, one entry a document: has_id u8 | doc_id i64 | n_tokens u32 | blob start u64 | blob length u64
     blobs, each document's ids (``width`` bytes an id) as one zstandard frame against the shared dictionary
 
-A store is a folder with ``dictionary`` (hash, bytes) and ``segments`` (part, segment, n_docs, n_tokens, data), written by
-Spark so that any store that Spark reaches will do. Segments of a part follow one another in ascending doc_id (null first),
-and so do the parts.
+A store is a folder with ``dictionary`` (hash, bytes) and ``segments`` (part, segment, inside, n_docs, n_tokens, data), written
+by Spark so that any store that Spark reaches will do. Segments of a part follow one another in ascending doc_id (null first),
+and so do the parts; inside counts the tokens of the part before the segment. Texts are encoded where they lie and only their
+frames are put in order; files are read where they lie.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blank_null, parts, shared_dir, ship, small_batches, staged, thinned
-from lectern.llm.encode import encoder
+from lectern.llm.common import bases, blank_null, parts, shared_dir, ship, staged, thinned, unstage
+from lectern.llm.encode import encoder, forget
 
 #: The dictionary is trained on this many documents at most, of at most so many characters, chosen by a hash of doc_id.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 8192, 32_768
 SEGMENT_BYTES, SEGMENT_DOCS = 1_000_000, 1024
+SEGMENTS = "part int, segment int, inside long, n_docs long, n_tokens long, data binary"
 MAGIC = b"LTK1"
 _HEAD = struct.Struct("<4sHHI32s")
 _ENTRY = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("n_tokens", "<u4"), ("start", "<u8"), ("length", "<u8")])
@@ -96,45 +98,51 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "hash string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
-    def run(batches):
-        enc, part, number, waiting, held = encoder(tokenizer), TaskContext.get().partitionId(), 0, [], 0
-        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        packer = zstandard.ZstdCompressor(level=3, dict_data=shared)
+    def compress(batches):
+        enc = encoder(tokenizer)
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        for batch in batches:
+            counts, frames = [], []
+            for text in batch["text"].to_pylist():
+                ids = enc.encode(text) + end
+                counts.append(len(ids) // 4)
+                frames.append(packer.compress(narrow(ids, width)))
+            yield pa.record_batch([batch["doc_id"], batch["tie"], pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "tie", "n_tokens", "frame"])
+
+    def segment(batches):
+        forget()
+        part, number, inside, waiting, held = TaskContext.get().partitionId(), 0, 0, [], 0
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
         def flush():
-            data = pack_segment(waiting, width, digest)
-            return pa.record_batch([pa.array([v], t) for v, t in ((part, pa.int32()), (number, pa.int32()), (len(waiting), pa.int64()), (sum(x[1] for x in waiting), pa.int64()), (data, pa.binary()))], names=["part", "segment", "n_docs", "n_tokens", "data"])
+            row = (part, number, inside, len(waiting), sum(x[1] for x in waiting), pack_segment(waiting, width, digest))
+            return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = enc.encode(text) + end
-                frame = packer.compress(narrow(ids, width))
-                waiting.append((doc_id, len(ids) // 4, frame))
+            for doc_id, n, frame in zip(batch["doc_id"].to_pylist(), batch["n_tokens"].to_pylist(), batch["frame"].to_pylist(), strict=True):
+                waiting.append((doc_id, n, frame))
                 held += len(frame) + _ENTRY.itemsize
                 if held >= SEGMENT_BYTES or len(waiting) >= SEGMENT_DOCS:
                     yield flush()
-                    number, waiting, held = number + 1, [], 0
+                    number, inside, waiting, held = number + 1, inside + sum(x[1] for x in waiting), [], 0
         if waiting:
             yield flush()
 
     # Many rows may share a doc_id: what follows it in the key lets a range boundary fall between them.
-    dealt = own.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first(), "tie")
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
-    with small_batches(spark):
-        ordered.mapInArrow(run, "part int, segment int, n_docs long, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/segments")
+    frames = staged(own.withColumn("tie", F.monotonically_increasing_id()).mapInArrow(compress, "doc_id long, tie long, n_tokens long, frame binary"), "frames")
+    keys = (F.col("doc_id").asc_nulls_first(), F.col("tie"))
+    ordered = frames.repartitionByRange(parts(spark), *keys).sortWithinPartitions(*keys).select("doc_id", "n_tokens", "frame")
+    ordered.mapInArrow(segment, SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
+    unstage(frames)
 
 
 def _placed(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
     """start (ids before it), data of each segment of a store; its dictionary, of at most DICTIONARY_BYTES."""
     ship(spark)
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").head()["data"])
-    segments = spark.read.schema("part int, segment int, n_docs long, n_tokens long, data binary").parquet(f"{path}/segments")
-    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    earlier = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.select("part", "segment", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("inside")).join(bases, "part")
-    return segments.join(starts, ["part", "segment"]).select((F.col("base") + F.col("inside")).alias("start"), "data"), dictionary
+    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
+    before = F.broadcast(bases(segments, tokens=F.sum("n_tokens")).select("part", "tokens_base"))  # a row a part
+    return segments.join(before, "part").select((F.col("tokens_base") + F.col("inside")).alias("start"), "data"), dictionary
 
 
 def _unpacked(spark: SparkSession, path: str, column: str, kind: pa.DataType, sql: str, of) -> DataFrame:
@@ -142,6 +150,7 @@ def _unpacked(spark: SparkSession, path: str, column: str, kind: pa.DataType, sq
     placed, dictionary = _placed(spark, path)
 
     def run(batches):
+        forget()
         for batch in batches:
             for start, data in zip(batch["start"].to_pylist(), batch["data"], strict=True):
                 seg, rows = Segment(data.as_buffer(), dictionary), []
@@ -168,4 +177,4 @@ def export_then_digest(docs: DataFrame, tokenizer: str, end_id: int) -> DataFram
     """Writes a store in the shared folder, reads it back and returns doc_id, start, n_tokens, ids_crc32."""
     path = f"{shared_dir(docs.sparkSession)}/lectern/tokens-{uuid.uuid4().hex}"
     write(docs, path, tokenizer, end_id)
-    return staged(digests(docs.sparkSession, path), "digests")
+    return digests(docs.sparkSession, path)

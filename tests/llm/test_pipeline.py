@@ -113,7 +113,6 @@ def test_stages(spark, con):
 
     packed = corpus_pipeline.run(spark, SMALL).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in third.items()}
     tokens, places = defaultdict(int), defaultdict(list)
     for r in packed:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -49,7 +50,7 @@ def corpus(seed, n=80):
 
 @pytest.fixture(scope="module")
 def big(spark):
-    rows = corpus(2) + [(1000, "long " * 30_000 + "end"), (1001, "w" * 100_000)]
+    rows = corpus(2) + [(1000, "long " * 30_000 + "end"), (1001, "w" * 100_000), (1002, "abc <|endoftext|> def"), (1003, "x<|startoftext|><|ENDOFTEXT|>")]
     return rows, documents(spark, rows).repartition(3).cache()
 
 
@@ -133,10 +134,11 @@ def test_wrapped_licenses(spark):
 # 2
 
 
+tokenizer = cache(Tokenizer.from_file)
+
+
 def token_ids(path, text, end):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return [*tokenizer(path).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -337,10 +339,9 @@ def test_token_counts(spark, big):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 @settings(max_examples=150, deadline=None)
-@given(text=st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["don't", "I'LL", "naïve", "ÉTÉ", "x1y22", "  ", "\n\n", "\t", "…", "<|endoftext|>", "日本", "Ⅷ", "'s", "²", "é", " ", "ß", "İ", "word."]), max_size=10).map(" ".join)))
+@given(text=st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["don't", "I'LL", "naïve", "ÉTÉ", "x1y22", "  ", "\n\n", "\t", "…", "<|endoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endoftext", "日本", "Ⅷ", "'s", "²", "é", " ", "ß", "İ", "word."]), max_size=10).map(" ".join)))
 def test_encoder(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = tokenizer(path)
     assert np.frombuffer(encoder(path).encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
