@@ -4,6 +4,7 @@ lists and aligned table cells."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -39,12 +40,23 @@ ENDS = {
     "body": (("head",), ("html",)),
 }
 _P_ENDERS = BLOCKS - frozenset("li dt dd tr caption thead tbody tfoot option html body".split())
+#: End tags that reach out of a cell or table.
+_THROUGH = frozenset("table tr tbody thead tfoot body html td th".split())
 _P_BOUNDS = frozenset("td th table li blockquote div section article body".split())
 #: An attribute's name and value; quotes count only where a value begins.
 _NAME, _VALUE = r"(?:=[^\s/>=]*+|[^\s/>=]++)", r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE}?+)?+)*+)>|[^<]+|<", re.S)
+_BARE = r"(?:\"[^\"<]*+\"|'[^'<]*+'|[^\s>\"'<][^\s><]*+|(?=[>/\s]))"
+#: A comment, declaration, tag or text; only tags without another "<" in them, so a try ends where the next piece begins.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/><]*+)((?:[\s/]++|(?:=[^\s/>=<]*+|[^\s/>=<]++)(?:\s*+=\s*+{_BARE}|(?!\s*+=)))*+)>|[^<]+|<", re.S)
+_OPEN, _GAP, _NAMED, _UNQUOTED = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)"), re.compile(r"[\s/]*+"), re.compile(rf"{_NAME}(\s*+=\s*+)?+"), re.compile(r"[^\s>]*+")
 _ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?+)?+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Columns in which cells may span rows; further right each is taken for one row.
+SPANNED = 200
+#: Tables within tables whose cells are aligned; what is nested deeper comes out as blocks.
+TABLES = 16
+#: Indents and list marks that stand before a line; those of lists within lists within lists beyond that are left out.
+DEPTH = 40
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -58,61 +70,115 @@ class Node:
         return {k.lower(): unescape(v[1:-1] if v[:1] in ("'", '"') else v) for k, v in _ATTR.findall(self.attrs)}
 
 
+class _Tags:
+    """Ends of tags that have a "<" within. A way to the end of the page without one is walked once, so that the time for a page
+    is in proportion to its length whatever stands in it."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in "\"'>"}
+        self.dead: set[int] = set()  # quotes from which no end is found
+        self.hopeless = 0  # tags that begin before this place have none
+
+    def end(self, at: int, start: int) -> int:
+        """The place of ">" for a tag that begins at start and whose attributes begin at at; -1 if there's none."""
+        page, n = self.page, len(self.page)
+        if start < self.hopeless or start > self.last[">"]:
+            return -1
+        passed: list[int] = []
+        while True:
+            at = _GAP.match(page, at).end()
+            if at >= n or at > self.last[">"]:
+                break
+            if page[at] == ">":
+                return at
+            m = _NAMED.match(page, at)
+            at = m.end()
+            if m[1] is None or at >= n:
+                continue
+            if (quote := page[at]) not in "\"'":
+                at = _UNQUOTED.match(page, at).end()
+            elif at < self.last[quote]:
+                if at in self.dead:
+                    break
+                passed.append(at)
+                at = page.index(quote, at + 1) + 1
+        self.hopeless = passed[0] if passed else n
+        self.dead.update(passed)
+        return -1
+
+
+class _Stack:
+    """Open elements, and where those of a name stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        for node in self.nodes[at:]:
+            self.places[node.tag].pop()
+        del self.nodes[at:]
+
+    def last(self, *tags: str) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def imply(self, ended, bounds) -> None:
+        """Closes the outermost of ended that's open within the innermost of bounds."""
+        if not any(self.places.get(t) for t in ended):
+            return
+        # an element that is both ended and a bound ends
+        bound = self.last(*[t for t in bounds if t not in ended])
+        inside = [p[k] for t in ended if (p := self.places.get(t)) and (k := bisect_right(p, bound)) < len(p)]
+        if inside:
+            self.cut(min(inside))
+
+
 def parse(page: str) -> Node:
     """The tree of a page; missing end tags are implied, stray ones are passed over."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(page)
+    stack, tags, at, n = _Stack(root), _Tags(page), 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
+        start, at, tag = at, m.end(), m[2]
+        closing, attrs = m[1], m[3]
+        if tag is None and m[0] == "<" and (m := _OPEN.match(page, start)) and (end := tags.end(m.end(), start)) >= 0:
+            closing, tag, attrs, at = m[1], m[2], page[m.end() : end], end + 1
+        top = stack.nodes[-1]
         if tag is None:
-            if (text := m[0])[:2] not in ("<!", "<?"):
-                if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
-                    stack.pop()
-                stack[-1].children.append(text)
+            if (text := page[start:at])[:2] not in ("<!", "<?"):
+                if top.tag == "head" and text.strip(" \t\n\r\f"):
+                    stack.cut(len(stack.nodes) - 1)
+                stack.nodes[-1].children.append(text)
             continue
         tag = tag.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th"):
-                    break
+        if closing:
+            if (own := stack.last(tag)) and (tag in _THROUGH or own > stack.last("td", "th", "table")):
+                stack.cut(own)
             continue
-        if stack[-1].tag == "head":
+        if top.tag == "head":
             if tag == "head":
                 continue
             if tag not in IN_HEAD:
-                stack.pop()
+                stack.cut(len(stack.nodes) - 1)
         if tag in ENDS:
-            _imply(stack, *ENDS[tag])
+            stack.imply(*ENDS[tag])
         if tag in _P_ENDERS:
-            _imply(stack, ("p",), _P_BOUNDS)
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in RAW and not (m[3].endswith("/") and any(x.tag in ("svg", "math") for x in stack)):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            stack.imply(("p",), _P_BOUNDS)
+        node = Node(tag, attrs)
+        stack.nodes[-1].children.append(node)
+        if tag in RAW and not (attrs.endswith("/") and stack.last("svg", "math")):
+            end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            shut = page.find(">", end.end()) if end else -1
+            node.children.append(page[at : end.start() if shut >= 0 else n])
+            at = shut + 1 if shut >= 0 else n
+        elif tag not in VOID and not attrs.endswith("/"):
+            stack.push(node)
     return root
 
 
-def _imply(stack: list[Node], ended, bounds) -> None:
-    """Closes the outermost of ended that's open within the innermost of bounds."""
-    cut = None
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in ended:
-            cut = i
-        elif stack[i].tag in bounds:
-            break
-    if cut is not None:
-        del stack[cut:]
-
-
 def visible(node: Node) -> bool:
     if node.tag in HIDDEN:
         return False
@@ -157,7 +223,8 @@ class Page:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            self.lines.append(("".join(self.indent)[: -len(self.mark)] + self.mark if self.mark else "".join(self.indent)) + line)
+            indent = "".join(self.indent[:DEPTH])
+            self.lines.append((indent[: -len(self.mark)] + self.mark if self.mark else indent) + line)
             self.mark = ""
 
     def gap(self) -> None:
@@ -169,28 +236,62 @@ class Page:
         return "\n".join(x.rstrip() for x in self.lines).strip("\n")
 
 
-def grid(rows: list[list[str]]) -> list[str]:
-    """Cells padded to the width of their columns; a cell of several lines takes several rows."""
-    width: list[int] = []
-    split = [[c.split("\n") for c in row] for row in rows]
-    for row in split:
-        for i, cell in enumerate(row):
-            if i == len(width):
-                width.append(0)
-            width[i] = max(width[i], *map(len, cell))
+def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table's rows of cells (text, columns, rows that it spans), padded to the width of their columns; a cell of
+    several lines takes several rows. A spanned place is left blank; a span over columns in which no cell begins is one column."""
+    placed: list[list[tuple[int, int, str]]] = []  # first column, the one after the last, text
+    below: dict[int, tuple[int, int]] = {}  # first column -> column after the last, rows left
+    for row in rows:
+        at, own, held = 0, [], {}
+        for text, columns, down in row:
+            while at in below:
+                own.append((at, below[at][0], ""))
+                held[at] = below[at]
+                at = below[at][0]
+            own.append((at, at + columns, text))
+            if down > 1 and at < SPANNED:
+                held[at] = (at + columns, down)
+            at += columns
+        for k, x in below.items():
+            if k >= at:
+                held[k] = x
+                own.append((k, x[0], ""))
+        while own and not own[-1][2] and len(own) > len(row):
+            own.pop()
+        placed.append(own)
+        below = {k: (e, left - 1) for k, (e, left) in held.items() if left > 1}
+    used = sorted({a for row in placed for a, _, _ in row})
+    rank = {a: i for i, a in enumerate(used)}
+    lines = [[(rank[a], max(rank[a] + 1, bisect_left(used, z)), text.split("\n")) for a, z, text in row] for row in placed]
+    width = [0] * len(used)
+    for wide in (False, True):  # cells of one column first; what a wider one lacks goes to its last column
+        for row in lines:
+            for a, z, cell in row:
+                if (z - a > 1) == wide:
+                    short = max(map(len, cell)) - sum(width[a:z]) - 3 * (z - a - 1)
+                    width[z - 1] += max(0, short)
     out = []
-    for row in split:
-        for k in range(max(map(len, row), default=0)):
-            out.append(" | ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row)).rstrip())
+    for row in lines:
+        for k in range(max((len(c) for _, _, c in row), default=0)):
+            out.append(" | ".join((c[k] if k < len(c) else "").ljust(sum(width[a:z]) + 3 * (z - a - 1)) for a, z, c in row).rstrip())
     return out
 
 
+def spans(node: Node) -> tuple[int, int]:
+    """Columns and rows that a cell spans."""
+    if "span" not in node.attrs.lower():
+        return 1, 1
+    given = node.attributes()
+    of = lambda name, most: min(most, max(1, int(m[0]))) if (m := re.match(r"\s*0*([0-9]{1,6})", given.get(name, ""))) and m[1] else 1
+    return of("colspan", 1000), of("rowspan", 65534)
+
+
 def render(root: Node) -> str:
     """All visible text. Nodes are walked with a stack of our own, so nesting of any depth will do."""
     page = Page()
-    tables: list[tuple[Page, list[list[str]]]] = []
+    tables: list[tuple[Page, list[list[tuple[str, int, int]]]]] = []
     lists: list[list] = []
-    pre = drawn = 0
+    pre = drawn = level = 0
     todo: list = [("in", root)]
     while todo:
         step, x = todo.pop()
@@ -217,7 +318,10 @@ def render(root: Node) -> str:
                 drawn += 1
             elif drawn and tag in APART:
                 page.text(" ")
-            if tag in ("td", "th") and tables:
+            level += tag == "table"
+            if level > TABLES and tag in ("td", "th", "tr", "table"):
+                page.end_line()
+            elif tag in ("td", "th") and tables:
                 if not tables[-1][1]:
                     tables[-1][1].append([])
                 tables.append((page, []))
@@ -255,11 +359,15 @@ def render(root: Node) -> str:
             drawn -= 1
         elif drawn and tag in APART:
             page.text(" ")
-        if tag in ("td", "th") and tables:
+        deep = level > TABLES
+        level -= tag == "table"
+        if deep and tag in ("td", "th", "tr", "table"):
+            page.end_line()
+        elif tag in ("td", "th") and tables:
             outer, _ = tables.pop()
             cell = page.done()
             page = outer
-            tables[-1][1][-1].append(cell)
+            tables[-1][1][-1].append((cell, *spans(x)))
         elif tag == "table":
             _, rows = tables.pop()
             page.end_line()
