@@ -23,8 +23,8 @@ ROLES = ("system", "user", "assistant")
 #: The model is fitted on so many labelled rows at most, of at most so many lines, chosen by a hash of conv_id and the block
 #: of so many turns.
 SAMPLE_ROWS, SAMPLE_LINES, SAMPLE_TURNS = 20_000, 200, 100
-#: Units decoded together at most.
-CHUNK = 20_000
+#: Units decoded together at most, and characters of their texts (or one unit).
+CHUNK, CHUNK_CHARS = 20_000, 4_000_000
 
 _MARKER = re.compile(r"\s*[#*\[<|]{0,3}(system|user|human|question|q|assistant|ai|bot|answer|a)[\]>|*]{0,3}\s*:\s*[*]{0,2}\s*", re.I)
 _MARKED = {"system": 1, "user": 2, "human": 2, "question": 2, "q": 2, "assistant": 3, "ai": 3, "bot": 3, "answer": 3, "a": 3}
@@ -165,13 +165,15 @@ def split_units(conversations: DataFrame) -> DataFrame:
     ship(conversations.sparkSession)
 
     def run(batches):
-        part, pos = TaskContext.get().partitionId(), 0
+        part, pos, chunk, held, chars = TaskContext.get().partitionId(), 0, 0, 0, 0
         for batch in batches:
             rows = []
             for conv_id, turn, role, text in zip(*[batch[c].to_pylist() for c in ("conv_id", "turn", "role", "text")], strict=True):
                 for segment, (own, codes) in enumerate(units(text)):
-                    rows.append(((part << 32) + pos // CHUNK, pos, conv_id, turn, segment, role, own, codes))
-                    pos += 1
+                    if held and (held >= CHUNK or chars + len(own) > CHUNK_CHARS):
+                        chunk, held, chars = chunk + 1, 0, 0
+                    rows.append(((part << 32) + chunk, pos, conv_id, turn, segment, role, own, codes))
+                    pos, held, chars = pos + 1, held + 1, chars + len(own)
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _UNIT.split(", ")])
