@@ -1,12 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template's label is given to a document if one of its blocks has at least THRESHOLD of the template's
-distinct words. Template words are put in order of corpus frequency, rarest first. A block that reaches the threshold must
-hold one of the first words of that order (the prefix), must be long enough, and from the place of the first word it holds
-enough of the order must be left; blocks that pass these filters are compared in full, so none is missed.
-
-A statement that is broken over lines is in no block of this kind. With wrapped=True, runs of words across lines are blocks
-as well: every run as long as the template with a fifth more words, and no longer.
+A block is a line, or a run of words across lines: from one of a template's words on, as long as the template with a fifth more
+words, so that a statement broken over lines is found too. A template's label is given to a document if one of its blocks has
+at least THRESHOLD of the template's distinct words, all words that tell it from its kin (TELLING) and none that make it another
+(NEVER).
+
+Template words are put in order of corpus frequency, rarest first. Of two sets that share enough words each holds a common one
+among its first words of that order (the prefix), both are long enough, and from the places of the first common word enough of
+both orders is left; what passes these filters is compared in full, so nothing is missed.
 """
 
 from __future__ import annotations
@@ -44,12 +45,24 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("cc0", "To the extent possible under law the author has waived all copyright and related or neighboring rights"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("reserved", "All rights reserved"),
 )
 
 
+#: Words that tell kin apart: a block must have those that the template has.
+TELLING = frozenset("2 3 4 lesser affero apache mozilla sa sharealike nc noncommercial nd noderivatives".split())
+#: Words that a block may not have for a label.
+_SA, _NC, _ND = ("sa", "sharealike"), ("nc", "noncommercial"), ("nd", "noderivatives")
+NEVER = {"cc-by-4.0": _SA + _NC + _ND, "cc-by-sa-4.0": _NC + _ND, "cc-by-nc-4.0": _SA + _ND, "cc-by-nd-4.0": _NC + _SA, "cc-by-nc-sa-4.0": _ND, "cc-by-nc-nd-4.0": _SA}
+
+
 def words(text: bytes) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z."""
     return text.translate(ALNUM_BYTES).split()
@@ -59,6 +72,11 @@ def word_sets(templates=TEMPLATES) -> list[tuple[str, tuple[bytes, ...]]]:
     return [(label, tuple(sorted(set(words(text.encode()))))) for label, text in templates]
 
 
+def must(own: tuple[bytes, ...]) -> list[str]:
+    """Words of a template that a block can't do without."""
+    return sorted(TELLING.intersection(w.decode() for w in own))
+
+
 def needed(n: int) -> int:
     """Words that a block must share with a template of n."""
     return -(-n * THRESHOLD[0] // THRESHOLD[1])
@@ -91,54 +109,67 @@ class Join:
     """The templates' side of the join, for words ordered by frequency."""
 
     def __init__(self, sets: list[tuple[str, tuple[bytes, ...]]], frequency: dict[bytes, int]):
+        every = sorted({w for _, own in sets for w in own}, key=lambda w: (frequency.get(w, 0), w))
+        self.rank = {w: r for r, w in enumerate(every)}
         self.templates, self.prefix = [], {}
+        as_bytes = lambda words: frozenset(w.encode() for w in words)
         for t, (label, own) in enumerate(sets):
-            order = sorted(own, key=lambda w: (frequency.get(w, 0), w))
-            need = needed(len(order))
-            self.templates.append((label, frozenset(own), len(order), need))
+            order, need = sorted(own, key=self.rank.__getitem__), needed(len(own))
+            self.templates.append((label, frozenset(own), need, as_bytes(must(own)), as_bytes(NEVER.get(label, ()))))
             for place, w in enumerate(order[: len(order) - need + 1]):
-                self.prefix.setdefault(w, []).append((t, place))
+                self.prefix.setdefault(self.rank[w], []).append((t, place))
 
-    def found(self, block: set[bytes]):
-        """(template, share) of the templates that the block holds enough of."""
+    def candidates(self, block: set[bytes]):
+        """Templates that a block passes the filters of; each at most once."""
+        order = sorted(self.rank[w] for w in self.rank.keys() & block)
         tried = set()
-        for w in self.prefix.keys() & block:
-            for t, place in self.prefix[w]:
-                _, own, n, need = self.templates[t]
-                # the first word of the order that the block holds stands at this place or before it
-                if t in tried or len(block) < need:
-                    continue
-                if n - place < need:
+        for j, r in enumerate(order):
+            for t, i in self.prefix.get(r, ()):
+                if t in tried:
                     continue
                 tried.add(t)
-                both = len(own & block)
-                if both >= need:
-                    yield t, both / n
+                _, own, need, _, _ = self.templates[t]
+                # this is the first word in common: what is shared lies at i and j or after them
+                if min(len(own) - i, len(order) - j) >= need:
+                    yield t
+
+    def held(self, block: set[bytes]):
+        """(template, share) of the templates that the block holds enough of."""
+        for t in self.candidates(block):
+            _, own, need, _, _ = self.templates[t]
+            both = len(own & block)
+            if both >= need:
+                yield t, both / len(own)
 
     def labels(self, block: set[bytes]) -> dict[str, float]:
         """label -> largest share of a template found in the block."""
         out: dict[str, float] = {}
-        for t, share in self.found(block):
-            label = self.templates[t][0]
-            out[label] = max(out.get(label, 0.0), share)
+        for t, share in self.held(block):
+            label, _, _, telling, never = self.templates[t]
+            if telling <= block and never.isdisjoint(block):
+                out[label] = max(out.get(label, 0.0), share)
         return out
 
     def runs(self, own: list[bytes], widths: list[int]):
-        """(place, label, share) of the runs of a template's width, from one of its words on, that hold enough of it."""
-        for t, _ in self.found(set(own)):
-            label, wanted, n, need = self.templates[t]
-            places = [i for i, w in enumerate(own) if w in wanted]
+        """(place, label, share) of the runs of a template's width, from one of its words on, that are taken for it."""
+        for t, _ in self.held(set(own)):
+            label, wanted, need, telling, never = self.templates[t]
+            places = [i for i, w in enumerate(own) if w in wanted or w in never]
             inside: Counter[bytes] = Counter()
-            end = 0
+            end = both = barred = 0
             for at in places:
                 while end < len(places) and places[end] < at + widths[t]:
-                    inside[own[places[end]]] += 1
+                    w = own[places[end]]
+                    inside[w] += 1
+                    both += w in wanted and inside[w] == 1
+                    barred += w in never
                     end += 1
-                if len(inside) >= need:
-                    yield at, label, len(inside) / n
-                inside[own[at]] -= 1
-                if not inside[own[at]]:
-                    del inside[own[at]]
+                w = own[at]
+                if w in wanted and both >= need and not barred and all(inside[x] for x in telling):
+                    yield at, label, both / len(wanted)
+                inside[w] -= 1
+                both -= w in wanted and not inside[w]
+                barred -= w in never
 
 
 def phrase_places(own: list[bytes], phrases) -> list[tuple[int, str]]:
@@ -155,15 +186,14 @@ def phrase_places(own: list[bytes], phrases) -> list[tuple[int, str]]:
     return out
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, wrapped: bool = False) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and blocks, the
-    lines (from 0) with the label of a template and the share of its words.
+    lines (from 0) on which a block with the label of a template begins, and the largest share of its words.
 
     n_base counts the places of the base phrases over the whole text, first_word and last_word are their smallest and
     largest start. labels joins the templates' labels and the base ones. score is 1 with a base phrase, else the largest
     share of an accepted template, else 0. A null or empty text has no words. Null and repeated ids and repeated rows are
-    scanned one by one; other columns are ignored; an empty table gives no row. wrapped: statements broken over lines count
-    too; blocks has the lines on which runs that hold one begin.
+    scanned one by one; other columns are ignored; an empty table gives no row.
     """
     ship(docs.sparkSession)
     sets, widths = word_sets(templates), [window(text) for _, text in templates]
@@ -172,7 +202,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, wrapped: bool = False) -> DataFra
 
     def run(batches):
         join = Join(sets, frequency)
-        marks, starters = join.prefix.keys(), {p[0] for p, _ in phrases}
+        marks, starters = join.rank.keys(), {p[0] for p, _ in phrases}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
@@ -186,7 +216,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, wrapped: bool = False) -> DataFra
                         ends.append((ends[-1] if ends else 0) + len(block))
                         for label, share in join.labels(set(block)).items():
                             shares[i, label] = share
-                    if wrapped and len(ends) > 1:
+                    if len(ends) > 1:
                         for at, label, share in join.runs(own, widths):
                             key = bisect_right(ends, at), label
                             shares[key] = max(shares.get(key, 0.0), share)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm.licenses import PHRASES, TEMPLATES, needed, word_sets
+from lectern.llm.licenses import NEVER, PHRASES, TEMPLATES, must, needed, window, word_sets
 from lectern.llm.quality import POLICY, RULES, SYMBOLS, UPPER, mask
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -20,14 +20,21 @@ def _strings(items) -> str:
 
 def _op1() -> str:
     phrases = ", ".join(f"({_strings(p.split())}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {_strings(w.decode() for w in own)}, {len(own)}, {needed(len(own))})" for label, own in word_sets(TEMPLATES))
+    templates = ", ".join(
+        f"('{label}', {_strings(w.decode() for w in own)}, {needed(len(own))}, {_strings(must(own))}::VARCHAR[], {_strings(NEVER.get(label, ()))}::VARCHAR[], {window(text)})"
+        for (label, own), (_, text) in zip(word_sets(TEMPLATES), TEMPLATES, strict=True)
+    )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_alnum("coalesce(text, '')")} AS w FROM documents),
-phrases(p, label) AS (VALUES {phrases}), templates(label, own, n, need) AS (VALUES {templates}),
+phrases(p, label) AS (VALUES {phrases}), templates(label, own, need, must, never, width) AS (VALUES {templates}),
 places AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS place FROM d, phrases),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS l FROM places GROUP BY ALL),
 lines AS (SELECT doc_id, list_distinct({_alnum("line")}) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-found AS (SELECT doc_id, label, len(list_intersect(s, own)) / n AS share FROM lines, templates WHERE len(s) >= need AND len(list_intersect(s, own)) >= need),
+held AS (SELECT doc_id, w, t.* FROM d, templates t WHERE len(list_intersect(list_distinct(w), own)) >= need),
+runs AS (SELECT doc_id, label, own, need, must, never, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(own, w[i])), lambda i: list_distinct(w[i : i + width - 1]))) AS s FROM held),
+blocks AS (SELECT doc_id, label, own, need, must, never, s FROM lines, templates WHERE len(s) >= need UNION ALL SELECT doc_id, label, own, need, must, never, s FROM runs),
+found AS (SELECT doc_id, label, len(list_intersect(s, own)) / len(own) AS share FROM blocks
+  WHERE len(list_intersect(s, own)) >= need AND len(list_intersect(s, must)) = len(must) AND len(list_intersect(s, never)) = 0),
 best AS (SELECT doc_id, max(share) AS share, list_distinct(list(label)) AS l FROM found GROUP BY ALL)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(coalesce(base.l, []) || coalesce(best.l, []))), ',') AS labels, CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score
