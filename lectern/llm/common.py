@@ -15,6 +15,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of a batch that a Python worker has at once, unless the session says otherwise: it is held there several times over,
 #: and again by the JVM.
 BATCH_BYTES = 8 << 20
+#: A value is frequent that more than so many rows have, and more than a share 1 / FREQUENT of all rows.
+FEW, FREQUENT = 256, 10_000
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Separators of the word rule [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ mapped to spaces, and A-Z to a-z, for bytes.translate.
@@ -89,6 +91,19 @@ def bases(df: DataFrame, **sums: Column) -> DataFrame:
     return totals.select("part", *out)
 
 
+def spread(rows: DataFrame, keys: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """rows.join(keys, by, how), where keys has one row a value at most and any number of rows may have the same one. For
+    values that many rows have, keys go to the rows; each has at least a share 1 / FREQUENT of them, so there are at most
+    FREQUENT. rows should be cheap to read again. how: inner or left."""
+    often = max(FEW, rows.count() // FREQUENT)
+    hot = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("m")).where(F.col("m") > often).select(by).collect()  # at most FREQUENT values
+    if not hot:
+        return rows.join(keys, by, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in hot], rows.select(by).schema))
+    few = F.broadcast(keys.join(hot, by, "left_semi"))
+    return rows.join(hot, by, "left_semi").join(few, by, how).unionByName(rows.join(hot, by, "left_anti").join(keys, by, how))
+
+
 def wrapped(docs: DataFrame) -> DataFrame:
     """doc (all columns but text) and text: names of helper columns can't clash with those of docs."""
     rest = [c for c in docs.columns if c != "text"]

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blank_null, space_words
+from lectern.llm.common import blank_null, space_words, unwrapped, wrapped
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -51,59 +51,77 @@ def mask(policy: str) -> int:
     return sum(1 << RULES.index(r) for r in POLICIES[policy])
 
 
+#: Hashes of a window, 96 bits together.
+hash64, hash32 = F.xxhash64, F.hash
+
+
+def _compared(s: str, kind: str, like) -> Column:
+    """For each element of the array s, what like(it, the one before) says; 0 for the first."""
+    before = F.concat(F.array(F.lit(None).cast(kind)), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
+    return F.zip_with(s, before, lambda a, b: F.coalesce(F.when(b.isNotNull(), like(a, b)), F.lit(0)))
+
+
+def _repeated(s: str, k: str) -> Column:
+    """The places i, in order, of the elements of s that are equal (1 in k) to the one before or after."""
+    marked = F.zip_with(s, k, lambda a, same: F.struct(a["i"].alias("i"), same.alias("same")))
+    again = F.zip_with(marked, F.slice(k, 2, F.size(k)), lambda a, after: F.when((a["same"] == 1) | F.coalesce(after == 1, F.lit(False)), a["i"]))
+    return F.array_sort(F.filter(again, lambda x: x.isNotNull()))
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with the measures of each whole text (null: no text).
+    """docs with the measures of each whole text (null: no text); columns named as a measure are replaced.
 
-    n_repeat_words counts words that stand in an 8-word window found twice or more. Windows are compared by 96 bits of
-    hash within one document; a document whose 64-bit hashes are all different is done after that.
+    n_repeat_words counts words that stand in an 8-word window found twice or more. Windows of a document are put in order of
+    96 bits of hash and neighbours are compared word by word. Where different ones share a hash, the document is done again
+    with the words themselves as the order. A document whose 64-bit hashes are all different is done at once.
     """
-    text = blank_null("text")
-    words = docs.withColumn("_t", text).withColumn("_w", space_words(_col("_t"))).withColumn("_n", F.size("_w"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
-    at = lambda i, n=WINDOW: F.slice("_w", i, n)
-    hashed = words.withColumn("_l", lines).withColumn(
-        "_h", F.when(_col("_n") >= WINDOW, F.transform(F.sequence(F.lit(1), _col("_n") - WINDOW + 1), lambda i: F.xxhash64(at(i)))).otherwise(F.array().cast("array<bigint>"))
+    kept = [c for c in docs.columns if c not in MEASURES]
+    lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
+    at = lambda i: F.slice("w", i, WINDOW)
+    # the documents' own columns are kept apart, so helpers may have any name
+    words = wrapped(docs.select(*kept)).withColumn("t", blank_null("text")).withColumn("w", space_words(_col("t"))).withColumn("n", F.size("w"))
+    hashed = words.withColumn("l", lines).withColumn(
+        "h", F.when(_col("n") >= WINDOW, F.transform(F.sequence(F.lit(1), _col("n") - WINDOW + 1), lambda i: hash64(at(i)))).otherwise(F.array().cast("array<bigint>"))
     )
-    ordered = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), F.hash(at(i + 1)).alias("g"), i.alias("i"))))
-    sorted_ = hashed.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), ordered))
-
-    def same(a: Column, b: Column) -> Column:
-        return (a["h"] == b["h"]) & (a["g"] == b["g"])
-
-    again = F.zip_with(
-        F.zip_with("_s", F.slice("_s", 2, F.size("_s")), lambda a, b: F.struct(a.alias("a"), F.coalesce(same(a, b), F.lit(False)).alias("next"))),
-        F.concat(F.array(F.lit(None).cast("struct<h:bigint,g:int,i:int>")), F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0)))),
-        lambda x, p: F.when(x["next"] | F.coalesce(same(x["a"], p), F.lit(False)), x["a"]["i"]),
+    places = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), hash32(at(i + 1)).alias("g"), (i + 1).alias("i"))))
+    spelled = F.sort_array(F.transform("h", lambda h, i: F.struct(F.array_join(at(i + 1), " ").alias("x"), (i + 1).alias("i"))))
+    # s: windows by hash; k: 1 with the words of the one before, 2 with its hash and other words; e, f: the same by words
+    alike = lambda a, b: (a["h"] == b["h"]) & (a["g"] == b["g"])
+    found = (
+        hashed.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), places))
+        .withColumn("k", _compared("s", "struct<h:bigint,g:int,i:int>", lambda a, b: F.when(~alike(a, b), 0).when(at(a["i"]) == at(b["i"]), 1).otherwise(2)))
+        .withColumn("e", F.when(F.exists("k", lambda k: k == 2), spelled))
+        .withColumn("f", _compared("e", "struct<x:string,i:int>", lambda a, b: F.when(a["x"] == b["x"], 1).otherwise(0)))
     )
-    starts = sorted_.withColumn("_p", F.when(_col("_s").isNotNull(), F.array_sort(F.filter(again, lambda x: x.isNotNull()))))
+    starts = found.withColumn("p", F.when(_col("e").isNotNull(), _repeated("e", "f")).otherwise(_repeated("s", "k")))
     # a window's words that the next one doesn't begin before
     covered = F.aggregate(
-        "_p",
+        "p",
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-WINDOW).alias("last")),
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("n"), p.alias("last")),
         lambda acc: acc["n"],
     )
     count = lambda c, chars: F.length(c) - F.length(F.translate(c, chars, ""))
-    joined = F.translate("_t", " \t\n\x0b\f\r", "")
-    return starts.withColumns(
-        {
-            "n_words": _col("_n").cast("long"),
-            "word_chars": F.length(joined).cast("long"),
-            "n_symbols": count(_col("_t"), SYMBOLS).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_chars": F.length("_t").cast("long"),
-            "n_upper": count(_col("_t"), UPPER).cast("long"),
-        }
-    ).drop("_t", "_w", "_n", "_l", "_h", "_s", "_p")
+    joined = F.translate("t", " \t\n\x0b\f\r", "")
+    measures = {
+        "n_words": _col("n"),
+        "word_chars": F.length(joined),
+        "n_symbols": count(_col("t"), SYMBOLS),
+        "n_dup_lines": F.size("l") - F.size(F.array_distinct("l")),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)),
+        "n_lines": F.size("l"),
+        "n_chars": F.length("t"),
+        "n_upper": count(_col("t"), UPPER),
+    }
+    return starts.select(*[_col("text") if c == "text" else _col("doc").getField(c).alias(c) for c in kept], *[measures[m].cast("long").alias(m) for m in MEASURES])
 
 
 def ledger(docs: DataFrame) -> DataFrame:
     """The measures and ``failures``, a long with a bit for each rule of RULES that the document fails.
 
     A null or empty text has no words and fails few_words. Every row is judged on its own, so repeated rows and null or
-    repeated ids stay as they are; extra columns pass through, those named as a measure are replaced.
+    repeated ids stay as they are; extra columns pass through, those named as a measure or failures are replaced; an empty
+    table gives no row.
     """
     kept = [c for c in docs.columns if c not in (*MEASURES, "failures")]
     bits = [F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(_failures()[r] for r in RULES)]
@@ -112,6 +130,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs.select(*kept)).select(*kept, F.inline(F.array(entry)))
 
 
+def keep(docs: DataFrame, policy: str = POLICY) -> DataFrame:
+    """The rows that a policy passes, with their columns as they were, whatever their names."""
+    return unwrapped(ledger(wrapped(docs)).where(passes(policy)), docs.columns)
+
+
 def passes(policy: str = POLICY) -> Column:
     return _col("failures").bitwiseAND(F.lit(mask(policy))) == 0
 
