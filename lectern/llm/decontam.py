@@ -2,29 +2,32 @@
 
 A shard is a run of documents of one partition (about SHARD_WORDS words). Its words become symbols; the suffix array gives
 the Burrows-Wheeler transform, kept as a wavelet matrix with popcount ranks. All phrases are searched backwards at once;
-their occurrences are located by walking to sampled suffix positions, and overlapping ones are merged into spans.
+their occurrences are located by walking to sampled suffix positions, and overlapping ones are merged into spans. A benchmark
+of any size goes out in blocks; each is searched in an index while that is there, so an index is built once.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import ALNUM_BYTES, ship
+from lectern.llm.common import ALNUM_BYTES, ship, wrapped
 
 WINDOW = 13
 SHARD_WORDS = 750_000
 #: Suffix positions kept in the index: every so many words.
 SAMPLE = 16
-#: Benchmark text that goes to the executors at once; more is searched in several blocks.
-BLOCK_BYTES = 16_000_000
+#: Benchmark text that the driver or a task holds at once; more is searched in several blocks.
+BLOCK_BYTES = 2_000_000
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 _END, _STOP = 0, 1  # of the shard, of a document; words follow
@@ -137,21 +140,27 @@ class FMIndex:
         return out
 
 
-def phrases(items: list[tuple[str, bytes]], window: int = WINDOW) -> tuple[list[tuple[bytes, ...]], list[list[int]]]:
-    """Distinct windows of the items, and the items of each. An item of fewer words, but not none, is one window."""
-    found: dict[tuple[bytes, ...], list[int]] = {}
-    for i, (_, text) in enumerate(items):
-        own = words(text)
-        k = min(window, len(own))
-        for j in range(len(own) - k + 1 if k else 0):
-            at = found.setdefault(tuple(own[j : j + k]), [])
-            if not at or at[-1] != i:
-                at.append(i)
-    return list(found), list(found.values())
+def windows(codes: np.ndarray, ends: np.ndarray, window: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Windows of a run of items, of which item i ends before place ends[i]: length -> (rows of codes, item of each row).
+
+    An item of fewer words, but not none, is one window. Rows with a code below 0 (a word that isn't there) are left out.
+    """
+    begins = np.concatenate([[0], ends[:-1]])
+    sizes = ends - begins
+    out = {}
+    for length in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+        items = np.flatnonzero(np.minimum(sizes, window) == length)
+        n = sizes[items] - length + 1
+        starts = np.repeat(begins[items] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        rows = np.lib.stride_tricks.sliding_window_view(codes, length)[starts]
+        known = (rows >= 0).all(1)
+        if known.any():
+            out[length] = rows[known].astype(np.int64), np.repeat(items, n)[known]
+    return out
 
 
-def search_shard(texts: list[bytes], wanted: list[tuple[bytes, ...]], owners: list[list[int]]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
-    """For each text: its number of words, merged spans (first word, word after the last), items found."""
+def search_shard(texts: list[bytes], blocks: Iterable[list[tuple[str, bytes]]], window: int = WINDOW) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """For each text: its number of words, merged spans (first word, word after the last), ids of the items found."""
     codes: dict[bytes, int] = defaultdict(count(_STOP + 1).__next__)
     seqs, starts, at = [], [], 0
     for text in texts:
@@ -163,35 +172,29 @@ def search_shard(texts: list[bytes], wanted: list[tuple[bytes, ...]], owners: li
     s = np.concatenate([x for seq in seqs for x in (seq, stop)] + [np.array([_END], np.int32)])
     sizes = [len(x) for x in seqs]
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[int]] = [set() for _ in texts]
-    by_length = defaultdict(list)
-    for k, w in enumerate(wanted):
-        row = [codes[x] for x in w] if all(x in codes for x in w) else None
-        if row:
-            by_length[len(w)].append((k, row))
-    if by_length:
-        index, starts = FMIndex(s), np.array(starts)
-        edge = np.zeros(len(s) + 1, np.int64)
-        for length, rows in by_length.items():
-            lo, hi = index.search(np.array([r for _, r in rows], np.int64))
+    found: list[set[str]] = [set() for _ in texts]
+    index, starts, edge = None, np.array(starts), np.zeros(len(s) + 1, np.int64)
+    for block in blocks:
+        split = [words(text) for _, text in block]
+        wanted = np.fromiter((codes.get(w, -1) for own in split for w in own), np.int64)
+        for length, (rows, items) in windows(wanted, np.cumsum([len(x) for x in split]), window).items():
+            index = index or FMIndex(s)
+            lo, hi = index.search(rows)
             live = np.flatnonzero(hi > lo)
             if not len(live):
                 continue
             n = hi[live] - lo[live]
-            which = np.repeat(live, n)
-            slots = np.repeat(lo[live] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            pos = index.locate(slots)
+            pos = index.locate(np.repeat(lo[live] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())))
             np.add.at(edge, pos, 1)
             np.add.at(edge, pos + length, -1)
             docs = np.searchsorted(starts, pos, side="right") - 1
-            pairs = np.unique(docs * len(rows) + which)
-            for p in pairs.tolist():
-                items[p // len(rows)].update(owners[rows[p % len(rows)][0]])
-        hit = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
-        begin, end = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
-        for d, a, b in zip((np.searchsorted(starts, begin, side="right") - 1).tolist(), begin.tolist(), end.tolist(), strict=True):
-            spans[d].append((a - int(starts[d]), b - int(starts[d])))
-    return list(zip(sizes, spans, items, strict=True))
+            for p in np.unique(docs * len(block) + np.repeat(items[live], n)).tolist():
+                found[p // len(block)].add(block[p % len(block)][0])
+    hit = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
+    begin, end = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
+    for d, a, b in zip((np.searchsorted(starts, begin, side="right") - 1).tolist(), begin.tolist(), end.tolist(), strict=True):
+        spans[d].append((a - int(starts[d]), b - int(starts[d])))
+    return list(zip(sizes, spans, found, strict=True))
 
 
 def _blocks(benchmark: DataFrame):
@@ -209,6 +212,7 @@ def _blocks(benchmark: DataFrame):
 
 
 SPANS = "array<struct<first:bigint,last:bigint>>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -216,35 +220,34 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     hit_items (ids as sorted distinct strings).
 
     Nothing is shuffled: each task indexes its own documents. The benchmark goes out in blocks of bounded size. A null text
-    has no words; items without words match nothing; a null item_id counts as the empty string; equal texts and repeated
+    or an empty one has no words; items without words match nothing; a null item_id counts as the empty string; equal texts and repeated
     rows are found one by one. Columns of docs named as a result are replaced. An empty benchmark leaves all unhit.
     """
     ship(docs.sparkSession)
     docs = docs.drop("n_words", "hit_spans", "hit_items")
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")})
-    blocks = list(_blocks(benchmark)) or [[]]
-    for items in blocks:
-        out = out.mapInArrow(_task(items, window), T.StructType([T.StructField(f.name, f.dataType) for f in out.schema]))
-    return out
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(items) for items in _blocks(benchmark)]  # of each the driver keeps the handle alone
+    fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), *[T.StructField(n, T._parse_datatype_string(t)) for n, t in (("hit_spans", SPANS), ("hit_items", "array<string>"))]]
+    return docs.mapInArrow(_task(blocks, window), T.StructType(fields))
+
 
+def _task(blocks: list[Broadcast], window: int):
+    def held():
+        """The blocks, one after another; where there are several, one is let go before the next is read."""
+        for b in blocks:
+            yield b.value
+            if len(blocks) > 1:
+                del b._value
 
-def _task(items: list[tuple[str, bytes]], window: int):
     def run(batches):
-        wanted, owners = phrases(items, window)
         waiting, size = [], 0
 
         def flush():
-            texts = [t for b in waiting for t in _texts(b)]
-            found = iter(search_shard(texts, wanted, owners))
+            found = iter(search_shard([t for b in waiting for t in _texts(b)], held(), window))
             for b in waiting:
-                n_words, spans, ids = [], [], []
-                for old_spans, old_ids in zip(b["hit_spans"].to_pylist(), b["hit_items"].to_pylist(), strict=True):
-                    n, own, got = next(found)
-                    n_words.append(n)
-                    spans.append(merge([(x["first"], x["last"]) for x in old_spans] + own))
-                    ids.append(sorted({*old_ids, *(items[i][0] for i in got)}))
-                new = {"n_words": n_words, "hit_spans": [[{"first": a, "last": z} for a, z in x] for x in spans], "hit_items": ids}
-                yield pa.record_batch([pa.array(new[f.name], f.type) if f.name in new else b[f.name] for f in b.schema], names=b.schema.names)
+                n_words, spans, ids = zip(*[next(found) for _ in range(b.num_rows)], strict=True)
+                new = {"n_words": pa.array(n_words, pa.int64()), "hit_spans": pa.array([[{"first": a, "last": z} for a, z in x] for x in spans], _SPANS), "hit_items": pa.array([sorted(x) for x in ids], pa.list_(pa.string()))}
+                yield pa.record_batch([*b.columns, *new.values()], names=[*b.schema.names, *new])
 
         for batch in batches:
             sizes = np.cumsum([len(t) // 6 + 2 for t in _texts(batch)])
@@ -268,16 +271,6 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()]
 
 
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def n_hit() -> Column:
     return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
 
@@ -300,6 +293,13 @@ def cut_spans(text: str, spans: list[dict]) -> str:
 _LOWER = {i: i + 32 for i in range(0x41, 0x5B)}
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without contaminated documents and without the hit passages of others; all columns but text come back as they
+    were, whatever their names. was_cut tells rows apart whose text has changed."""
+    cleaned = clean(find(wrapped(docs), benchmark, window)).withColumn("was_cut", F.size("hit_spans") > 0)
+    return cleaned.select("doc", "text", "was_cut")
+
+
 def clean(found: DataFrame) -> DataFrame:
     """find()'s rows without contaminated documents, and without the hit spans in the others' texts."""
     kept = found.withColumn("n_hit", n_hit()).where(~contaminated()).drop("n_hit")
