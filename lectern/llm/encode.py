@@ -16,8 +16,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries kept per worker; beyond it the table of units starts anew. Only memory depends on it.
-KEPT = 200_000
+#: Entries kept per worker; beyond it those go that were not asked for since half of them came. Only memory depends on it.
+KEPT = 600_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: White space other than blank and line feed: there the cuts below aren't safe.
@@ -43,20 +43,26 @@ class _Units(dict):
     """unit -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, model):
-        self.model = model
+        self.model, self.old = model, {}
 
     def __missing__(self, unit: str) -> bytes:
+        if (out := self.old.get(unit)) is None:
+            out = self._spell(unit)
+        if len(self) >= KEPT // 2:
+            self.old = dict(self)
+            self.clear()
+        if len(unit) <= 64:
+            self[unit] = out
+        return out
+
+    def _spell(self, unit: str) -> bytes:
         spelled = unit[1:] if unit[0] == " " else unit
         if not (spelled.isascii() and spelled.isprintable() and " " not in spelled):
             spelled = unit.encode().decode("latin-1").translate(_ALPHABET)
         elif spelled is not unit:
             spelled = _BLANK + spelled
-        out = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(spelled)])}I", *ids)
-        if len(self) >= KEPT:
-            self.clear()
-        if len(unit) <= 64:
-            self[unit] = out
-        return out
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def whole(tokenizer, text: str) -> bytes:
