@@ -17,14 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blank_null, ship, staged, unstage
+from lectern.llm.common import blank_null, ship, spread, staged, unstage, unwrapped, wrapped
 
 #: 32 bands of 4 of 128 bins: of pairs at 0.8, one in 2e7 shares no band.
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-#: Up to so many candidate nodes (about 40 bytes each) are broadcast to find their texts; more are joined by shuffle.
+#: Up to so many candidate nodes (16 bytes each) are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_NODES = 200_000
 KEPT_WORDS = 100_000
+#: Rows of one side of a slice of a self-join, and pairs of one text that are confirmed together.
+SLICE = 256
 
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,23 +125,15 @@ def similar(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, text of each of nodes (node, rep, fp). A doc_id may be null or stand for several texts: the set decides."""
+def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of each of nodes (node, row)."""
     if nodes.count() <= BROADCAST_NODES:
         nodes = F.broadcast(nodes)
-    own = docs.select("doc_id", blank_null("text").alias("text"))
-    found = own.join(nodes, own["doc_id"].eqNullSafe(nodes["rep"])).select("node", "fp", "text")
-
-    def run(batches):
-        for batch in batches:
-            right = [fingerprint(shingles(t, size)) == fp for t, fp in zip(_binary(batch, "text"), batch["fp"].to_pylist(), strict=True)]
-            yield batch.select(["node", "text"]).filter(pa.array(right, pa.bool_()))
-
-    return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    return own.select("row", blank_null("text").alias("text")).join(nodes, "row").select("node", "text")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (a, b) whose full sets reach the threshold."""
+    """pairs (a, b) whose full sets reach the threshold. A text of many pairs as a is sent along once for each slice of them."""
 
     def run(batches):
         kept: dict[int, np.ndarray] = {}
@@ -158,9 +152,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 yes.append(similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent))
             yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    sliced = spread(pairs, slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    left = texts.join(slices, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("text").alias("ta"))
+    return sliced.join(right, "b").join(left, ["a", "slice"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame | None:
@@ -175,7 +171,7 @@ def components(edges: DataFrame) -> DataFrame | None:
         up = staged(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("root")), "parents")
         while True:
             over = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = staged(up.join(over, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "parents")
+            jumped = staged(spread(up, over, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "parents")
             moved = not jumped.where("moved").isEmpty()
             unstage(up)
             up = jumped
@@ -184,10 +180,14 @@ def components(edges: DataFrame) -> DataFrame | None:
         up = up.select("node", "root")
         up._staged_at = jumped._staged_at
         ends = [up.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
-        rest = staged(edges.join(ends[0], "a").join(ends[1], "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        rest = staged(spread(edges, ends[0], "a").join(ends[1], "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         unstage(edges)
         edges = rest
-        labels = up if labels is None else staged(relabel(labels, up), "labels")
+        if labels is None:
+            labels = up
+        else:
+            old, labels = labels, staged(relabel(labels, up), "labels")
+            unstage(old, up)
     unstage(edges)
     return labels
 
@@ -195,7 +195,7 @@ def components(edges: DataFrame) -> DataFrame | None:
 def relabel(labels: DataFrame, up: DataFrame) -> DataFrame:
     """labels (node, root) with roots replaced by what up (node, root) says of them."""
     over = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return labels.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return spread(labels, over, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -207,75 +207,91 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_ids take part; the smallest is taken of those that aren't null, and is null where all are. Rows that share a
     doc_id are judged each by its own text, and repeated rows are alike. An empty table gives no row.
     """
-    all_docs = staged(sketches(docs.withColumn("row", F.monotonically_increasing_id()), size), "sketches")
-    nodes = staged(
-        all_docs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()),
-        "nodes",
-    )
-    labels = _classes(docs, nodes, size, percent)
-    named = nodes.select("node", "fp", "rep")
-    if labels is None:
-        classes = named.select("fp", F.col("rep").alias("component_id"), F.col("node").alias("class_id"))
-    else:
-        linked = labels.join(named, "node")
-        smallest = linked.groupBy("root").agg(F.min("rep").alias("least"))
-        roots = labels.join(smallest, "root").select("node", "root", "least")
-        least = F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least"))
-        classes = named.join(roots, "node", "left").select("fp", least.alias("component_id"), F.coalesce("root", "node").alias("class_id"))
-    out = all_docs.select("doc_id", "row", "n_shingles", "fp").join(classes, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id", "row")
+    own = staged(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows")
+    out = _judged(own, size, percent)
+    unstage(own)
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs, of which one row of each class stays: one with the smallest doc_id. Documents without words all stay.
 
-    Rows are told apart by their place in the input, so docs should be a plain scan of files.
+    Columns come back as they were, whatever their names. Null doc_ids come last in a class; of repeated rows and of rows that
+    share a doc_id any one stays. An empty table gives no row.
     """
-    classes = near_duplicates(docs, size, percent).select("row", "doc_id", "class_id")
+    own = staged(wrapped(docs).withColumns({"doc_id": F.col("doc").getField("doc_id"), "row": F.monotonically_increasing_id()}), "rows")
+    classes = _judged(own.select("doc_id", "text", "row"), size, percent).select("row", "doc_id", "class_id")
     alone = classes.where("class_id is null").select("row")
     best = classes.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    kept = best.select(F.col("best.row").alias("_row")).union(alone)
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = best.select(F.col("best.row").alias("row")).union(alone)
+    return unwrapped(own.join(kept, "row", "left_semi"), docs.columns)
+
+
+def _judged(own: DataFrame, size: int, percent: int) -> DataFrame:
+    """near_duplicates() of staged rows (doc_id, text, row)."""
+    all_docs = staged(sketches(own, size), "sketches")
+    least = all_docs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    # The smallest node of a bucket is its hub: one with many copies, as others are most likely made from it.
+    node = F.monotonically_increasing_id() + F.shiftleft(63 - F.floor(F.log2("copies")), 57)
+    nodes = staged(least.withColumn("node", node), "nodes")
+    labels = _classes(own, nodes, size, percent)
+    named = nodes.select("node", "fp", "rep")
+    if labels is None:
+        classes = named.select("fp", F.col("rep").alias("component_id"), F.col("node").alias("class_id"))
+    else:
+        smallest = labels.join(named, "node").groupBy("root").agg(F.min("rep").alias("least"))
+        roots = spread(labels, smallest, "root").select("node", "root", "least")
+        component = F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least"))
+        classes = named.join(roots, "node", "left").select("fp", component.alias("component_id"), F.coalesce("root", "node").alias("class_id"))
+    some = spread(all_docs.where("fp is not null").select("doc_id", "row", "n_shingles", "fp"), classes, "fp")
+    none = all_docs.where("fp is null").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
+    out = some.drop("fp").unionByName(none)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id", "row")
 
 
-def _classes(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame | None:
+def _classes(own: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame | None:
     """node, root of nodes that have links."""
-    keyed = nodes.select("node", "n", "copies", F.explode("bands").alias("key"))
-    # the text with most exact copies is most likely the one that others were made from
-    stars = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct((-F.col("copies")).alias("c"), "node", "n")).alias("h")).where("m > 1").select("key", "h.node", "h.n").toDF("key", "hub", "hub_n")
-    members = staged(keyed.join(stars, "key").where("node <> hub").select("key", "node", "n", "hub", "hub_n"), "members")
-    pairs = members.where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    labels = _linked(docs, nodes, staged(pairs.distinct(), "pairs"), size, percent, None)
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    stars = staged(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n")).where("m > 1"), "stars")
+    members = staged(spread(keyed, stars, "key").where("node <> hub").select("key", "node", "n", "hub", "hub_n"), "members")
+    unstage(stars)
+    pairs = members.where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    labels = _linked(own, nodes, staged(pairs.distinct(), "pairs"), size, percent, None)
     # Where the others of a bucket are of several classes, pairs among them are still open.
     rooted = members.select("key", "node") if labels is None else members.select("key", "node").join(labels, "node", "left")
     root = F.col("node") if labels is None else F.coalesce("root", "node")
     open_ = rooted.groupBy("key").agg(F.min(root).alias("lo"), F.max(root).alias("hi")).where("lo <> hi").select("key")
-    rest = staged(members.join(open_, "key").select("node").distinct(), "open")
+    rest = staged(spread(members.select("key", "node"), open_, "key").select("node").distinct(), "open")
     unstage(members)
-    if rest.isEmpty():
-        return labels
-    texts = staged(_texts(docs, rest.join(nodes, "node").select("node", "rep", "fp"), size), "texts")
-    pairs = staged(_prefix_pairs(texts, labels, size, percent), "pairs")
-    return _linked(docs, nodes, pairs, size, percent, labels, texts)
+    if not rest.isEmpty():
+        texts = staged(_texts(own, rest.join(nodes, "node").select("node", "row")), "texts")
+        labels = _linked(own, nodes, _prefix_pairs(texts, labels, size, percent), size, percent, labels, texts)
+    unstage(rest)
+    return labels
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int, labels: DataFrame | None, texts: DataFrame | None = None) -> DataFrame | None:
-    """labels with the classes joined that confirmed pairs link."""
+def _linked(own: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int, labels: DataFrame | None, texts: DataFrame | None = None) -> DataFrame | None:
+    """labels with the classes joined that confirmed pairs link. Deletes pairs, texts and the labels that it replaces."""
     if pairs.isEmpty():
+        unstage(pairs, *[texts] * (texts is not None))
         return labels
     if texts is None:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = staged(_texts(docs, staged(ends.join(nodes, "node").select("node", "rep", "fp"), "ends"), size), "texts")
+        ends = staged(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", "row"), "ends")
+        texts = staged(_texts(own, ends), "texts")
+        unstage(ends)
     links = staged(_confirm(pairs, texts, size, percent), "links")
-    unstage(texts)
+    unstage(texts, pairs)
     if labels is None:
-        return components(links)
-    inside = [labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
-    up = components(links.join(inside[0], "a", "left").join(inside[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    if up is None:
-        return labels
-    return staged(relabel(labels, up).union(up.join(labels.select("node"), "node", "left_anti")), "labels")
+        out = components(links)
+    else:
+        inside = [labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
+        up = components(links.join(inside[0], "a", "left").join(inside[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        out = labels
+        if up is not None:
+            out = staged(relabel(labels, up).union(up.join(labels.select("node"), "node", "left_anti")), "labels")
+            unstage(labels, up)
+    unstage(links)
+    return out
 
 
 def _prefix_pairs(texts: DataFrame, labels: DataFrame | None, size: int, percent: int) -> DataFrame:
@@ -284,7 +300,9 @@ def _prefix_pairs(texts: DataFrame, labels: DataFrame | None, size: int, percent
     Shingles are put in order of their frequency among these texts, rarest first. Two sets that reach the threshold share
     one of their first shingles of that order (so many that not all can be missed), are of similar size, and from the place
     of the first shared one enough is left in both. Shingles of one text alone take places but join nothing: a text that
-    has too many of its own, as a far-off copy in a large family has, is in no pair.
+    has too many of its own, as a far-off copy in a large family has, is in no pair. Texts of the class that most texts with
+    a shingle are of aren't paired among themselves, a shingle of one class pairs nothing, and the texts with a shingle are
+    cut into slices, so that many with one shingle neither meet in one task nor are all paired.
     """
 
     def run(batches):
@@ -295,12 +313,21 @@ def _prefix_pairs(texts: DataFrame, labels: DataFrame | None, size: int, percent
             yield pa.record_batch([pa.array(c) for c in columns], names=["node", "n", "h"])
 
     flat = staged(texts.mapInArrow(run, "node long, n long, h long"), "shingles")
-    shared = flat.join(flat.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h")
+    shared = spread(flat, flat.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h")
     own = Window.partitionBy("node")
     pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h"))
     first = shared.select("node", "n", "h", pos.alias("pos")).where(f"pos <= n - ({percent} * n + 99) div 100 + 1")
     rooted = first.withColumn("root", F.col("node")) if labels is None else first.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    a, b = (rooted.select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    rooted = staged(rooted.select("h", "node", "n", "pos", "root"), "prefixes")
+    unstage(flat)
+    mixed = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.max("c").alias("top"), F.max_by("root", "c").alias("major"))
+    mixed = mixed.where("top < m").select("h", "major", F.ceil(F.col("m") / SLICE).alias("slices"))
+    grouped = spread(rooted, mixed, "h")
+    a, b = (grouped.select("h", "slices", (F.col("root") == F.col("major")).alias(f"in{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    a = a.where("not ina").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "ina")
+    b = b.withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices"))).drop("slices")
     left = "(1 + least(na - pa, nb - pb))"
-    fits = f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and 100 * {left} >= {percent} * (na + nb - {left})"
-    return a.join(b, "h").where(fits).select("a", "b").distinct()
+    fits = f"(inb or a < b) and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and 100 * {left} >= {percent} * (na + nb - {left})"
+    pairs = staged(a.join(b, ["h", "slice"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    unstage(rooted)
+    return pairs

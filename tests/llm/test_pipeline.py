@@ -133,11 +133,12 @@ def test_empty_tables(spark):
 
 
 def test_stages_take_odd_rows(spark):
-    rows = [(None, None, "en", None, None), (1, "", "en", "s", 0), (2, "x " * 60, None, "s", 120), (2, "words that differ here " * 3 + "and so on, more " + "of them " * 2, "en", "s", 80), (2, None, None, None, None)]
-    at = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as failures", "'a' as row", "2 as hit_spans", "3 as n_words")
+    rows = [(None, None, "en", None, None), (1, "", "en", "s", 0), (2, "x " * 60, None, "s", 120), (2, "words that differ here " * 3 + "and so on, more " + "of them " * 2, "en", "s", 80), (None, " ".join(f"word{i}" for i in range(40)), "en", "s", -1), (2, None, None, None, None)]
+    at = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as failures", "'a' as row", "2 as hit_spans", "3 as n_words", "4 as _t", "5 as _row", "6 as n_hit", "7 as doc", "8 as was_cut")
+    own = set(at.select("failures", "row", "hit_spans", "n_words", "_t", "_row", "n_hit", "doc", "was_cut").collect())
     for _, stage in corpus_pipeline.STAGES[:3]:
         out = stage(spark, at, SMALL)
-        assert out.columns == at.columns
+        assert out.columns == at.columns and {*out.select("failures", "row", "hit_spans", "n_words", "_t", "_row", "n_hit", "doc", "was_cut").collect()} <= own
         at = spark.createDataFrame(out.collect(), at.schema)
     assert corpus_pipeline.STAGES[3][1](spark, at, SMALL).count() == at.count()
     assert quality.POLICY in quality.POLICIES

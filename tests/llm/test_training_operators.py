@@ -4,10 +4,11 @@ columns whose names clash."""
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -72,14 +73,18 @@ def spaced(text, fold=True):
 
 
 def license_model(text):
+    """Every line, and every run of a template's width from one of its words on."""
     own = alnum(text)
     places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(own)) if own[i : i + len(p.split())] == p.split()]
     labels, share = set(), 0.0
-    for line in (text or "").split("\n"):
-        block = set(alnum(line))
-        for label, statement in licenses.TEMPLATES:
-            t = set(alnum(statement))
-            if 10 * len(t & block) >= 9 * len(t):
+    lines = [set(alnum(line)) for line in (text or "").split("\n")]
+    every = set(own)
+    for label, statement in licenses.TEMPLATES:
+        t, width = set(alnum(statement)), licenses.window(statement)
+        if 10 * len(t & every) < 9 * len(t):
+            continue
+        for block in lines + [set(own[i : i + width]) for i in range(len(own)) if own[i] in t]:
+            if 10 * len(t & block) >= 9 * len(t) and block >= t & licenses.TELLING and block.isdisjoint(licenses.NEVER.get(label, ())):
                 labels.add(label)
                 share = max(share, len(t & block) / len(t))
     base = {x[1] for x in places}
@@ -95,20 +100,6 @@ def test_licenses(spark, big):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
-def wrapped_model(text):
-    """Every run of a template's width across all words, besides the lines."""
-    n_words, n_base, first, last, base, labels, score = license_model(text)
-    own, found = alnum(text), set(filter(None, labels.split(",")))
-    for label, statement in licenses.TEMPLATES:
-        t, width = set(alnum(statement)), licenses.window(statement)
-        for i in range(len(own)):
-            both = len(t & set(own[i : i + width]))
-            if 10 * both >= 9 * len(t):
-                found.add(label)
-                score = max(score, both / len(t))
-    return n_words, n_base, first, last, base, ",".join(sorted(found)), score
-
-
 def test_wrapped_licenses(spark):
     rng = random.Random(1)
     rows = [
@@ -123,14 +114,40 @@ def test_wrapped_licenses(spark):
         own = s.split()
         del own[rng.randrange(len(own))]
         for _ in range(rng.randrange(4)):
-            own.insert(rng.randrange(len(own)), "rem")
+            own.insert(rng.randrange(len(own)), rng.choice(["rem", "sa", "nc", "2"]))
         rows.append((100 + k, "".join(["the x\n", *(w + rng.choice(" \n") for w in own), "\nof the end"])))
-    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows), wrapped=True).collect()}
-    assert {i: tuple(got[i])[1:8] for i in got} == {i: wrapped_model(t) for i, t in rows}
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    assert {i: tuple(got[i])[1:8] for i in got} == {i: license_model(t) for i, t in rows}
     assert [got[i].labels for i in range(1, 7)] == ["mit", "bsd", "mpl-2.0", "apache-2.0", "", ""]
     assert [tuple(b) for b in got[4].blocks] == [(0, "apache-2.0", 1.0)]
 
 
+def test_kin_of_licenses():
+    join = licenses.Join(licenses.word_sets(), {})
+    of = lambda s: sorted(join.labels(set(licenses.words(s.encode()))))
+    gpl = "This work is licensed under the GNU General Public License version "
+    assert of(gpl + "2") == ["gpl-2.0"] and of(gpl + "3") == ["gpl-3.0"]
+    for label, s in licenses.TEMPLATES:
+        if label.startswith("cc-by"):
+            assert of(s) == [label]
+
+
+def test_license_filters():
+    """The filters lose nothing, and the places in both orders prune what the prefix alone lets through."""
+    rng = random.Random(4)
+    pool = [f"w{i}".encode() for i in range(24)]
+    pruned = 0
+    for _ in range(300):
+        sets = [(f"l{k}", tuple(sorted(rng.sample(pool, rng.randrange(2, 14))))) for k in range(6)]
+        join = licenses.Join(sets, {w: rng.randrange(5) for w in pool})
+        block = set(rng.sample(pool, rng.randrange(1, 20)))
+        passed = list(join.candidates(block))
+        assert len(passed) == len(set(passed))
+        assert {t for t, _ in join.held(block)} == {t for t, (_, own) in enumerate(sets) if 10 * len(block & set(own)) >= 9 * len(own)} <= set(passed)
+        pruned += len({t for w in block & set(pool) for t, _ in join.prefix.get(join.rank.get(w), ())}) - len(passed)
+    assert pruned > 100
+
+
 # 2
 
 
@@ -276,6 +293,47 @@ def test_keep_one(spark, tmp_path):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == want
 
 
+def test_many_with_one_key(spark, monkeypatch):
+    """Joins and self-joins in slices: nothing is lost, none is twice."""
+    from lectern.llm import common
+
+    monkeypatch.setattr(common, "FEW", 3)
+    monkeypatch.setattr(neardup, "SLICE", 2)
+    rows = chain(5) + [(1000 + k, "the same words for many a document of this kind") for k in range(40)] + [(None, None), (None, ""), (None, "the same words for many")]
+    got = neardup.near_duplicates(documents(spark, rows).repartition(3), 4).select("doc_id", "n_shingles", "component_id", "kept")
+    sets, least = class_model(rows, 4)
+    assert as_rows(got) == sorted(((i, len(s), c if s else i, i == (c if s else i)) for (i, _), s, c in zip(rows, sets, least, strict=True)), key=repr)
+    a = spark.createDataFrame([(k % 3 if k < 60 else k, k) for k in range(70)] + [(None, 1)] * 9, "by long, v long")
+    b = spark.createDataFrame([(k, str(k)) for k in range(0, 65, 2)], "by long, name string")
+    for how in ("inner", "left"):
+        assert as_rows(common.spread(a, b, "by", how)) == as_rows(a.join(b, "by", how))
+
+
+def test_rows_without_ids(spark):
+    rows = [(None, t) for _, t in chain(6)]
+    got = neardup.near_duplicates(documents(spark, rows), 5)
+    sets, _ = class_model(rows, 5)
+    _, classes = class_model([(i, t) for i, (_, t) in enumerate(rows)], 5)
+    assert sorted(Counter(r.class_id for r in got.collect()).values()) == sorted(Counter(classes).values()) and len(sets) == len(rows)
+
+
+def test_columns_of_keep_one(spark, tmp_path):
+    """Other columns come back as they were, and splits may change between two readings of the table."""
+    rows = [(i, t, -1, "r", 2) for i, t in corpus(4, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, row string, `doc` int")
+    df.repartition(3).write.parquet(str(tmp_path / "d"))
+    kept = neardup.keep_one(spark.read.parquet(str(tmp_path / "d")))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = kept.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    sets, least = class_model([r[:2] for r in rows], 5)
+    assert {tuple(r)[2:] for r in got} == {(-1, "r", 2)} and kept.columns == df.columns
+    assert sorted((r.doc_id for r in got), key=repr) == sorted((r[0] for r, s, c in zip(rows, sets, least, strict=True) if not s or r[0] == c), key=repr)
+
+
 def test_no_documents(spark):
     assert neardup.near_duplicates(documents(spark, [])).count() == 0
     assert neardup.near_duplicates(documents(spark, [(1, None), (2, "")])).where("kept").count() == 2
@@ -390,6 +448,34 @@ def test_viterbi_in_pieces():
         assert total == pytest.approx(score)
 
 
+def test_viterbi_against_all_paths():
+    """Every path of states is scored by itself."""
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        n = int(rng.integers(1, 7))
+        scores, step, start = rng.normal(size=(n, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+        of = lambda p: start[p[0]] + sum(scores[i, s] for i, s in enumerate(p)) + sum(step[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        best = max(product(range(3), repeat=n), key=of)
+        path, score = chat.viterbi(scores.tolist(), start.tolist(), step.tolist(), None, None)
+        assert tuple(path) == best and score == pytest.approx(of(best))
+
+
+def test_query_against_all_paths(spark):
+    """Roles of whole conversations, decoded by trying all paths of a model that is read off the fitted one."""
+    rng = random.Random(3)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant" if c % 3 else None, rng.choice(["Is it?", "It is.\n- a\n- b", "words " * 40, "Human: so?", ""])) for c in range(30) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.train(chat.split_units(df).cache())
+    got = {(r.conv_id, r.turn, r.segment): r.role_found for r in chat.recover(df.repartition(3)).collect()}
+    for c in range(30):
+        own = [(t, k, codes) for _, t, _, text in sorted(r for r in rows if r[0] == c) for k, (_, codes) in enumerate(chat.units(text))]
+        scores = [[sum(model.emission[code, s] for code in codes) for s in range(3)] for _, _, codes in own]
+        of = lambda p: model.start[p[0]] + sum(scores[i][s] for i, s in enumerate(p)) + sum(model.step[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        best = of(max(product(range(3), repeat=len(own)), key=of))
+        found = [chat.ROLES.index(got[c, t, k]) for t, k, _ in own]
+        assert of(found) == pytest.approx(best)
+
+
 def test_chat_roles(spark):
     rows = []
     for c in range(60):
@@ -437,6 +523,10 @@ def test_chunks_do_not_change_roles(spark, monkeypatch):
     whole = as_rows(chat.recover(df))
     monkeypatch.setattr(chat, "CHUNK", 7)
     assert as_rows(chat.recover(df)) == whole
+    monkeypatch.setattr(chat, "CHUNK", 1000)
+    monkeypatch.setattr(chat, "CHUNK_CHARS", 300)
+    assert chat.split_units(df).select("chunk").distinct().count() > 10
+    assert as_rows(chat.recover(df)) == whole
 
 
 # 8
@@ -508,6 +598,94 @@ def test_quotes_in_tags(html, text):
     assert html_text.page_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><td colspan=2>both<tr><td>a<td>b</table>", "both\na | b"),
+        ("<table><tr><td rowspan=2>l<td>x<tr><td>y</table>", "l | x\n  | y"),
+        ("<table><tr><th colspan=3>a long heading<tr><td>1<td>2<td>3</table>", "a long heading\n1 | 2 | 3"),
+        ("<table><tr><td>1<td colspan=2>wide<td>4<tr><td>a<td>b<td>c<td>d</table>", "1 | wide  | 4\na | b | c | d"),
+        ("<table><tr><td colspan=0>a<td rowspan=x>b</table>", "a | b"),
+        ("<a title=\"x>link</a> more", "link more"),
+        ("<a title='x < y > z'>link</a>", "link"),
+    ],
+)
+def test_spans_and_open_quotes(html, text):
+    assert html_text.page_text(html) == text
+
+
+@pytest.mark.parametrize("piece", ['<a b="', '<a x="" <b ', ' x="<c"', "<a b='>\"", "<p><td><b><hr>", "</x>", "<script></script ", "<td rowspan=9>a<tr>", "<table><tr><td>x", "<ul><li>x"])
+def test_hostile_pages_take_linear_time(piece):
+    def seconds(n):
+        began = time.process_time()
+        html_text.page_text("<a " + piece * n + '>">')
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(8000) < 12 * seconds(2000) + 0.5
+
+
+VOIDS = ["br"]
+NAMES = ["p", "div", "b", "i", "ul", "section"]
+
+
+def trees(depth):
+    """Trees of elements as (tag, hidden, children) and words."""
+    leaf = st.sampled_from(["one", " two ", "a&lt;b", "three\nfour", ("br", False, [])])
+    return leaf if not depth else st.one_of(leaf, st.tuples(st.sampled_from(NAMES), st.booleans(), st.lists(trees(depth - 1), max_size=4)))
+
+
+def written(x):
+    if isinstance(x, str):
+        return x
+    tag, hidden, inner = x
+    return f"<{tag}>" if tag in VOIDS else f"<{tag}{' hidden' if hidden else ''}>{''.join(map(written, inner))}</{tag}>"
+
+
+def shown(x):
+    """The words that such a tree shows, with breaks: 1 within a block's run of lines, 2 around a spaced block."""
+    if isinstance(x, str):
+        return [x.replace("&lt;", "<")]
+    tag, hidden, inner = x
+    if hidden:
+        return []
+    own = [y for c in inner for y in shown(c)]
+    if tag == "br":
+        return [1]
+    return own if tag in ("b", "i") else [2, *own, 2] if tag in ("p", "ul") else [1, *own, 1]
+
+
+def model_text(forest):
+    out, text, gap = "", "", 0
+    for x in [y for c in forest for y in shown(c)] + [1]:
+        if isinstance(x, str):
+            text += x
+            continue
+        line = re.sub(r"\s+", " ", text).strip(" ")
+        if line:
+            out += ("\n\n" if gap > 1 else "\n") * bool(out) + line
+            gap = 0
+        text, gap = "", max(gap, x)
+    return out
+
+
+def no_blocks_in_p(x, inside=False):
+    """HTML ends an open p at a block, and a list within a list has no blank line around it: such trees are left out."""
+    if isinstance(x, str):
+        return True
+    tag, _, inner = x
+    if inside and tag in ("p", "div", "ul", "section"):
+        return False
+    return all(no_blocks_in_p(c, inside or tag in ("p", "ul")) for c in inner)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(trees(3), max_size=5))
+def test_html_against_a_plain_renderer(forest):
+    forest = [x for x in forest if no_blocks_in_p(x)]
+    assert html_text.page_text("".join(map(written, forest))) == model_text(forest)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<pre>", "</pre>", "<blockquote>", "</blockquote>", "<dd>", "<b", "'", ">", "x", " y ", "&lt;", "<br/>", "<script>", "</div>", "<td/>", "</td>", "<!--"]), max_size=25).map("".join))
 def test_html_never_fails(html):
@@ -549,6 +727,24 @@ def test_quality(spark, big):
     assert not any("Arrow" in x or "Python" in x for x in [got._jdf.queryExecution().toString()])
 
 
+def test_windows_of_equal_hash(spark, monkeypatch):
+    """Hashes of two values: windows are told apart by their words."""
+    monkeypatch.setattr(quality, "hash64", lambda w: F.pmod(F.xxhash64(w), F.lit(2)))
+    monkeypatch.setattr(quality, "hash32", lambda w: F.lit(0))
+    rows = [*corpus(6, 30), (70, "a b c d e f g h i " * 9), (71, " ".join(map(str, range(60)))), (72, " ".join([*"abcdefgh", *map(str, range(30)), *"abcdefgh"]))]
+    got = quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_repeat_words")
+    assert as_rows(got) == sorted(((i, quality_model(t)[4]) for i, t in rows), key=repr)
+
+
+def test_helper_names_of_quality(spark):
+    names = ["t", "w", "n", "l", "h", "s", "k", "e", "f", "p", "doc", "_t", "_w", "n_chars", "n_words", "failures", "bits", "a b", "x.y"]
+    rows = [(1, "one two three four " * 10, *range(len(names))), (2, None, *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = quality.keep(spark.createDataFrame([(3, " ".join(f"word{i}" for i in range(50)), *range(len(names)))], df.schema).union(df))
+    assert kept.columns == df.columns and [tuple(r)[2:] for r in kept.collect()] == [tuple(range(len(names)))]
+    assert quality.ledger(df.drop("a b", "x.y")).select("t", "w", "h", "bits").distinct().count() == 1
+
+
 # 10
 
 
