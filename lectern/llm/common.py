@@ -96,12 +96,11 @@ def spread(rows: DataFrame, keys: DataFrame, by: str, how: str = "inner") -> Dat
     values that many rows have, keys go to the rows; each has at least a share 1 / FREQUENT of them, so there are at most
     FREQUENT. rows should be cheap to read again. how: inner or left."""
     often = max(FEW, rows.count() // FREQUENT)
-    hot = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("m")).where(F.col("m") > often).select(by).collect()  # at most FREQUENT values
+    hot = [r[0] for r in rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("m")).where(F.col("m") > often).select(by).collect()]  # at most FREQUENT values
     if not hot:
         return rows.join(keys, by, how)
-    hot = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in hot], rows.select(by).schema))
-    few = F.broadcast(keys.join(hot, by, "left_semi"))
-    return rows.join(hot, by, "left_semi").join(few, by, how).unionByName(rows.join(hot, by, "left_anti").join(keys, by, how))
+    frequent = F.coalesce(F.col(by).isin(*hot), F.lit(False))
+    return rows.where(frequent).join(F.broadcast(keys.where(frequent)), by, how).unionByName(rows.where(~frequent).join(keys, by, how))
 
 
 def wrapped(docs: DataFrame) -> DataFrame:
