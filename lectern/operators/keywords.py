@@ -38,8 +38,9 @@ def tf_keywords(sections: DataFrame, n: int = DEFAULTS.top_keywords) -> DataFram
 def tfidf(counts: DataFrame, sections: DataFrame) -> DataFrame:
     """counts with df, n_sections of the book and score = tf * ln(n_sections / df), unsmoothed, to nine places."""
     total = sections.groupBy("book_id").agg(F.count("*").alias("n_sections"))
+    # counted over the terms themselves: texts are split into words once
     return (
-        counts.join(document_frequency(counts), ["book_id", "term"])
+        counts.withColumn("df", F.count("*").over(Window.partitionBy("book_id", "term")))
         .join(total, "book_id")
         .withColumn("score", F.round(F.col("tf") * F.ln(F.col("n_sections") / F.col("df")), 9))
     )

@@ -47,11 +47,23 @@ def catalog_entry(section_id="section_id", title="title", chapter="chapter_title
     return F.concat(head, F.lit("\n  Abstract: "), X.snippet(F.coalesce(F.col(abstract), F.lit(""))), F.when(kw != "", F.concat(F.lit("\n  Keywords: "), kw)).otherwise(""), F.lit("\n"))
 
 
+_RULES = """Choose up to {k} sections of this catalogue that answer the question, the most useful one first.
+- Go by what a section is about, even where its title has none of the question's words.
+- Where the question compares things or joins several topics, take a section for each of them.
+- Where two neighbouring sections may both be meant, take both with confidence medium; one too many is better than the right one missed.
+- Take sections marked [SUPPLEMENTARY] only where exercises, summaries or history are asked for.
+
+For "How does a heap keep its order?": {{"sections": [{{"section_id": "6-2-heap-order", "confidence": "high", "reason": "It shows how sifting restores the order."}}]}}
+For "Heaps or search trees for a schedule?": {{"sections": [{{"section_id": "6-2-heap-order", "confidence": "high", "reason": "Heaps as queues."}}, {{"section_id": "7-1-search-trees", "confidence": "high", "reason": "Trees for the same task."}}]}}
+
+Question: """
+
+
 def prompts(questions: DataFrame, shortlisted: DataFrame, top_k: int = DEFAULTS.top_k) -> DataFrame:
     """q_id, prompt from questions (q_id, question) and their shortlisted candidates (q_id, rank, entry)."""
     catalog = shortlisted.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("c"))
     text = F.concat(
-        F.lit(f"Choose the {top_k} sections of this catalogue that answer the question best, most useful first. Take sections marked [SUPPLEMENTARY] only if nothing else fits.\n\nQuestion: "),
+        F.lit(_RULES.format(k=top_k)),
         F.col("question"),
         F.lit("\n\nCatalogue:\n"),
         F.array_join(F.transform("c", lambda x: x["entry"]), "\n"),

@@ -111,10 +111,10 @@ def nearest_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_custkey AS q_id, o_orderkey AS pos, r AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderstatus <> 'F' AS INTEGER) ELSE 0 END, o_orderkey % 5, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, o_orderkey) AS r
-  FROM orders WHERE o_totalprice < 200000) WHERE r <= 2""")
+  FROM orders WHERE o_totalprice <= 200000) WHERE r <= 2""")
 def visual_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("q_id"), F.when(F.col("o_custkey") % 2 == 0, "Calculate it").otherwise("Tell me").alias("question"), (F.col("o_orderkey") % 5).alias("section_pos"),
         F.when(F.col("o_orderstatus") == "F", "equation").otherwise("figure").alias("kind"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("size"),
     )
-    return visuals.select_visuals(o.where("size < 200000"), n=2, max_bytes=200_000).select("q_id", "pos", "rank")
+    return visuals.select_visuals(o, n=2, max_bytes=200_000).select("q_id", "pos", "rank")
