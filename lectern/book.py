@@ -88,11 +88,15 @@ def route(built: Index, questions: DataFrame, make_model: Callable[[], routing.M
     return routing.enrich(asked.select("q_id", routing.parse_picks("answer").alias("picks")), own, s.top_k)
 
 
-def respond(routed: DataFrame, questions: DataFrame, secs: DataFrame, make_model: Callable[[], routing.Model], s: Settings = DEFAULTS) -> DataFrame:
+def respond(routed: DataFrame, questions: DataFrame, secs: DataFrame, make_model: Callable[[], routing.Model], s: Settings = DEFAULTS, pictures: DataFrame | None = None) -> DataFrame:
     """q_id, answer with its sources: sections packed under the budget, a model's answer without its thinking. Questions
-    without picks, and failed calls, get a sentence that says so."""
+    without picks, and failed calls, get a sentence that says so. pictures (section_id, kind, pos, size, url) of the sections
+    go to the model with the texts."""
     texts = routed.select("q_id", F.col("rank").alias("pos"), "section_id").join(secs.select("section_id", "text"), "section_id")
-    asked = routing.ask(answer.answer_prompts(questions, answer.pack_context(texts, s.context_chars), secs.select("section_id", "chapter", "title")), make_model)
+    prompts = answer.answer_prompts(questions, answer.pack_context(texts, s.context_chars), secs.select("section_id", "chapter", "title"))
+    if pictures is not None:
+        prompts = prompts.join(answer.attached(questions, routed, pictures, s.max_visuals), "q_id", "left")
+    asked = routing.ask(prompts, make_model, images=None if pictures is None else "images")
     footers = answer.citation_footer(routed.select("q_id", F.col("rank").alias("pos"), "section_id"), secs)
     told = asked.select("q_id", X.final_answer("answer").alias("told")).join(footers, "q_id", "left")
     out = questions.select("q_id").join(told, "q_id", "left").join(routed.select("q_id").distinct().withColumn("any", F.lit(True)), "q_id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
 from lectern.functions import text as X
+from lectern.operators import visuals
 
 _BLOCKS = "array<struct<pos:bigint,section_id:string,text:string>>"
 
@@ -47,6 +48,13 @@ def answer_prompts(questions: DataFrame, packed: DataFrame, headings: DataFrame)
     return questions.join(held, "q_id").select("q_id", text.alias("prompt"))
 
 
+def attached(questions: DataFrame, routed: DataFrame, pictures: DataFrame, n: int = DEFAULTS.max_visuals) -> DataFrame:
+    """q_id, images: the data URLs that go with a question's sections, at most n. pictures: section_id, kind, pos, size, url."""
+    own = routed.select("q_id", F.col("rank").alias("section_pos"), "section_id").join(pictures, "section_id").join(questions, "q_id")
+    chosen = visuals.select_visuals(own, n).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("u"))
+    return chosen.select("q_id", F.transform("u", lambda x: x["url"]).alias("images"))
+
+
 def citation_footer(cited: DataFrame, sections: DataFrame) -> DataFrame:
     """cited (q_id, pos, section_id) to q_id, footer: a line a section that still exists, in order; no row without any."""
     line = F.concat(F.lit("- §"), "title", F.lit(" ("), X.citation_pages("start_page", "end_page"), F.lit(") · id: `"), F.col("section_id").cast("string"), F.lit("`"))

@@ -17,25 +17,28 @@ _PICKS = "array<struct<section_id:string,confidence:string,reason:string>>"
 
 
 class Model(Protocol):
-    """Any text model; None stands for a failed call."""
+    """Any model; None stands for a failed call. images (data URLs) are given only where there are some, so a model of texts
+    needn't take them."""
 
-    def __call__(self, prompt: str) -> str | None: ...
+    def __call__(self, prompt: str, images: list[str] = ...) -> str | None: ...
 
 
-def ask(prompts: DataFrame, make_model: Callable[[], Model], prompt: str = "prompt", answer: str = "answer") -> DataFrame:
-    """prompts with the model's answer; a failed call gives null. The client is made once a task."""
+def ask(prompts: DataFrame, make_model: Callable[[], Model], prompt: str = "prompt", answer: str = "answer", images: str | None = None) -> DataFrame:
+    """prompts with the model's answer; a failed call gives null. The client is made once a task. images: a column of arrays
+    of data URLs that go with a prompt."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
 
-        def one(p):
+        def one(p, urls):
             try:
-                return model(p)
+                return model(p, list(urls)) if urls is not None and len(urls) else model(p)
             except Exception:  # noqa: BLE001  an answer that can't be had is null, whatever the client raises
                 return None
 
         for pdf in batches:
-            yield pdf.assign(**{answer: [one(p) for p in pdf[prompt]]})
+            seen = pdf[images] if images else [None] * len(pdf)
+            yield pdf.assign(**{answer: [one(p, urls) for p, urls in zip(pdf[prompt], seen, strict=True)]})
 
     return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField(answer, T.StringType())]))
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lectern.operators import outline, scans, sections
 from lectern.plans import sqltext as S
-from lectern.plans.register import query
+from lectern.plans.register import ORACLES, query
+from lectern.sources import tables
 from lectern.sources.tables import table
 
 _TOC = "SELECT CAST(user_id AS VARCHAR) AS book_id, CAST(event_id AS INTEGER) AS toc_idx, CAST(1 + (event_id * 7 + user_id) % 4 AS INTEGER) AS level, event_type || ' ' || event_id AS title, CAST(event_id // 40 - 3 AS INTEGER) AS start_page FROM events"
@@ -125,6 +126,12 @@ def length_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.length_outliers(pages(spark, sf_dir).withColumnRenamed("page", "section_id"))
 
 
+@query(f"SELECT book_id, '[' || section_id || '] ' || kind || ': ' || n_chars || ' chars (' || ratio || ' x median)' AS line FROM ({ORACLES['length_outliers']})")
+def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = length_outliers(spark, sf_dir)
+    return tables.qa_report(found.withColumn("section_id", F.col("section_id").cast("string")))
+
+
 _SCAN = """
 pages AS (SELECT user_id AS book_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS page, CASE user_id % 3 WHEN 0 THEN props || ' ' || props || ' ' || props WHEN 1 THEN event_type || ' ' ELSE left(event_type, 2) END AS text FROM events),
 sampled AS (SELECT p.*, n FROM pages p JOIN (SELECT book_id, count(*) AS n FROM pages GROUP BY ALL) USING (book_id)

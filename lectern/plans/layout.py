@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import blocks, outline, visuals
 from lectern.plans.register import query
+from lectern.plans.sqltext import strip_html
 from lectern.sources.tables import table
 
 _SPANS = """SELECT user_id AS book_id, CAST(event_id // 100 AS INTEGER) AS page, 0 AS block, CAST(event_id // 2 AS INTEGER) AS line, CAST(event_id % 2 AS INTEGER) AS span,
@@ -69,7 +70,10 @@ def sectionize_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.sectionize(own)
 
 
-@query()
+@query(rf"""
+WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, turn, coalesce(text, '') AS html, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS seq FROM conversations)
+SELECT DISTINCT book_id, 0::BIGINT AS seq, 'ListGroup' AS block_type, NULL::INTEGER AS page, 2 AS level, '' AS text FROM c
+UNION ALL SELECT book_id, seq, 'ListItem', CAST(turn AS INTEGER), coalesce(CAST(nullif(regexp_extract(html, '<[hH](\d)', 1), '') AS INTEGER), 2), {strip_html("html")} FROM c""")
 def flatten_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as a tree: a page with a list of its turns."""
     block = F.to_json(F.named_struct(F.lit("block_type"), F.lit("ListItem"), F.lit("id"), F.concat(F.lit("/page/"), "turn"), F.lit("html"), F.col("text")))

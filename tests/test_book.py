@@ -3,7 +3,10 @@
 import json
 import re
 
+from pyspark.sql import functions as F
+
 from lectern import book
+from lectern.config import Settings
 
 FILLER = "Electric current flows through the resistor network while voltage drops across every element. " * 4
 
@@ -49,6 +52,12 @@ def test_book(spark):
     assert told["q1"] == "By Ohm's law.\n\n---\n📖 **Sources:**\n- §1.1 Ohm Law (p. 1) · id: `1-1-ohm-law`"
     assert told["q2"].startswith("No section")
 
+    shown = spark.createDataFrame([("1-1-ohm-law", "raster", 0, 10, "data:a"), ("1-1-ohm-law", "equation", 1, 10, "data:b"), ("1-1-ohm-law", "raster", 2, 10**9, "data:c"), ("other", "raster", 0, 10, "data:d")], "section_id string, kind string, pos int, size long, url string")
+    looks = lambda: lambda prompt, images=(): " ".join(images) or "none"
+    asked = questions.withColumn("question", F.when(F.col("q_id") == "q1", "Derive ohm resistance").otherwise(F.col("question")))
+    assert {r.q_id: r.answer for r in book.respond(routed, asked, secs, looks, Settings(max_visuals=2), shown).collect()}["q1"].startswith("data:b data:a\n")
+    assert {r.q_id: r.answer for r in book.respond(routed, questions, secs, looks, pictures=shown.where("section_id = 'other'")).collect()}["q1"].startswith("none\n")
+
 
 def test_blocks(spark):
     tree = {"children": [{"block_type": "SectionHeader", "id": "/page/0/a", "html": "<h1>One</h1>"}, {"block_type": "Text", "id": "/page/1/a", "html": "<p>body</p>"}, {"block_type": "SectionHeader", "id": "/page/2/a", "html": "<h2>Sub</h2>"}, {"block_type": "Figure", "id": "/page/2/b"}]}
