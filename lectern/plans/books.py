@@ -88,10 +88,10 @@ def flatten_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT CAST(e.conv_id AS VARCHAR) AS book_id, CAST(e.turn AS INTEGER) AS toc_idx, string_agg(p.text, chr(10) ORDER BY p.turn) AS text
-FROM conversations e JOIN conversations p ON e.conv_id = p.conv_id AND p.turn BETWEEN e.turn AND e.turn + 2 WHERE e.turn % 2 = 0 GROUP BY ALL""")
+FROM conversations e JOIN conversations p ON e.conv_id = p.conv_id AND p.turn BETWEEN e.turn AND e.turn + 2 GROUP BY ALL""")
 def range_join_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), F.col("turn").cast("int").alias("page"), "text")
-    entries = pages.where("page % 2 = 0").select("book_id", F.col("page").alias("toc_idx"), F.col("page").alias("start_page"), (F.col("page") + 2).alias("end_page"))
+    entries = pages.select("book_id", F.col("page").alias("toc_idx"), F.col("page").alias("start_page"), (F.col("page") + 2).alias("end_page"))
     return sections.range_text(entries, pages)
 
 

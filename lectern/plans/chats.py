@@ -54,13 +54,13 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("message_id", "thread_id")
 
 
-@query("SELECT c_custkey || '' AS book_id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS display_name FROM customer UNION ALL SELECT '-1', 'new'")
+@query("SELECT coalesce(n.k, c.c_custkey) || '' AS book_id, coalesce(n.c_mktsegment, c.c_name) AS display_name FROM customer c FULL JOIN (SELECT 3 * c_custkey AS k, c_mktsegment FROM customer) n ON c.c_custkey = n.k")
 def upsert_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.lit("2024-01-01").cast("timestamp").alias("created_at")
     c = table(spark, sf_dir, "customer")
     books = c.select(F.col("c_custkey").cast("string").alias("book_id"), F.col("c_name").alias("display_name"), at)
-    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("book_id"), F.col("c_mktsegment").alias("display_name"), at)
-    return chat.upsert_books(books, new.union(spark.range(1).select(F.lit("-1"), F.lit("new"), at))).select("book_id", "display_name")
+    new = c.select((3 * F.col("c_custkey")).cast("string").alias("book_id"), F.col("c_mktsegment").alias("display_name"), at)
+    return chat.upsert_books(books, new).select("book_id", "display_name")
 
 
 @query("SELECT c_custkey AS book_id, c_name AS display_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -74,7 +74,7 @@ def refused_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where(~F.col("role").isin(*chat.ROLES)).select("conv_id", "turn")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END FROM customer)")
 def orphaned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parent = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"))
+    parent = table(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("key"))
     return chat.orphans(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key")), parent, "key").select("o_orderkey")

@@ -1,5 +1,5 @@
-"""Evaluation queries. A customer is a question of the book of its market segment; finished orders name what it expects, other
-orders what was found."""
+"""Evaluation queries. A customer is a question of the book of its market segment; its orders name what it expects, and also
+what was found, where orders of low priority are off by one."""
 
 from __future__ import annotations
 
@@ -11,23 +11,24 @@ from lectern.plans.register import query
 from lectern.plans.search import _SIBLINGS, siblings
 from lectern.sources.tables import table
 
-_WANT = "SELECT DISTINCT c_mktsegment AS book_id, o_custkey AS q_id, o_orderkey % 40 AS section_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'"
-_GOT = "SELECT q_id, section_id, min(rank) AS rank FROM (SELECT o_custkey AS q_id, o_orderkey % 40 AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderpriority <> '5-LOW') GROUP BY ALL"
+_WANT = "SELECT DISTINCT c_mktsegment AS book_id, o_custkey AS q_id, o_orderkey % 40 AS section_id FROM orders JOIN customer ON o_custkey = c_custkey"
+_GOT = "SELECT q_id, section_id, min(rank) AS rank FROM (SELECT o_custkey AS q_id, (o_orderkey + CAST(o_orderpriority = '5-LOW' AS INTEGER)) % 40 AS section_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders) GROUP BY ALL"
 _PER = f"""want AS ({_WANT}), got AS ({_GOT}),
 per AS (SELECT book_id, q_id, count(*) AS n_expected, count(rank) AS n_found, coalesce(bool_or(rank = 1), false) AS top1,
           coalesce(string_agg(CASE WHEN rank IS NULL THEN section_id || '' END, ' ' ORDER BY section_id), '') AS missing FROM want LEFT JOIN got USING (q_id, section_id) GROUP BY book_id, q_id),
 out AS (SELECT *, n_found > 0 AS hit, n_found = n_expected AS exact FROM per)"""
 
 
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labels(spark: SparkSession, sf_dir: str, sections: int = 40) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q_id"), F.col("c_mktsegment").alias("book_id"))
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("q_id"), (F.col("o_orderkey") % 40).alias("section_id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q_id"), (F.col("o_orderkey") % sections).alias("section_id"))
     return o.join(c, "q_id")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderpriority <> '5-LOW'")
-    return o.select(F.col("o_custkey").alias("q_id"), (F.col("o_orderkey") % 40).alias("section_id"), F.expr("cast(row_number() over (partition by o_custkey order by o_orderkey) as bigint)").alias("rank"))
+    o = table(spark, sf_dir, "orders")
+    section = (F.col("o_orderkey") + (F.col("o_orderpriority") == "5-LOW").cast("int")) % 40
+    return o.select(F.col("o_custkey").alias("q_id"), section.alias("section_id"), F.expr("cast(row_number() over (partition by o_custkey order by o_orderkey) as bigint)").alias("rank"))
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +39,10 @@ def _joined(c: str):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
 
 
-@query(f"WITH {_PER} SELECT book_id, q_id, string_agg(section_id || '', ' ' ORDER BY section_id) AS invalid FROM want WHERE section_id NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY ALL")
+@query(f"WITH want AS ({_WANT.replace('% 40', '% 2500')}) SELECT book_id, q_id, string_agg(section_id || '', ' ' ORDER BY section_id) AS invalid FROM want WHERE section_id NOT IN (SELECT p_partkey FROM part) GROUP BY ALL")
 def label_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = labels(spark, sf_dir)
-    parts = table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("section_id"))
+    wanted = labels(spark, sf_dir, 2500)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("section_id"))
     there = wanted.select("book_id", "section_id").distinct().join(parts, "section_id", "left_semi")
     return evaluate.invalid_labels(wanted, there).select("book_id", "q_id", _joined("invalid"))
 

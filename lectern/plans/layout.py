@@ -102,13 +102,13 @@ def cluster_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS (SELECT {_RECT} FROM orders), l AS (SELECT book_id, idx, 'x Fig. ' || idx || '.1a y' AS text, y0 + 100 AS y0, y0 + 110 AS y1 FROM r WHERE idx % 3 = 0),
-n AS (SELECT r.book_id, r.idx, min_by('Fig. ' || l.idx || '.1a', l.idx) AS caption FROM r JOIN l ON r.book_id = l.book_id AND least(abs(l.y0 - r.y1), abs(r.y0 - l.y1)) <= 50 GROUP BY ALL)
+WITH r AS (SELECT {_RECT} FROM orders), l AS (SELECT book_id, idx, idx % 3 = 0 AS labelled, y0 + 100 AS y0, y0 + 110 AS y1 FROM r),
+n AS (SELECT r.book_id, r.idx, min_by('Fig. ' || l.idx || '.1a', l.idx) AS caption FROM r JOIN l ON labelled AND r.book_id = l.book_id AND least(abs(l.y0 - r.y1), abs(r.y0 - l.y1)) <= 50 GROUP BY ALL)
 SELECT r.book_id, r.idx, caption FROM r LEFT JOIN n USING (book_id, idx)""")
 def nearest_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rects(spark, sf_dir)
-    text = F.concat(F.lit("x Fig. "), "idx", F.lit(".1a y"))
-    text_lines = r.where("idx % 3 = 0").select("book_id", "page", F.col("idx").alias("pos"), text.alias("text"), (F.col("y0") + 100).alias("y0"), (F.col("y0") + 110).alias("y1"))
+    text = F.when(F.col("idx") % 3 == 0, F.concat(F.lit("x Fig. "), "idx", F.lit(".1a y"))).otherwise("plain words")
+    text_lines = r.select("book_id", "page", F.col("idx").alias("pos"), text.alias("text"), (F.col("y0") + 100).alias("y0"), (F.col("y0") + 110).alias("y1"))
     return visuals.nearest_caption(r.withColumnRenamed("idx", "cluster"), text_lines).select("book_id", F.col("cluster").alias("idx"), "caption")
 
 
