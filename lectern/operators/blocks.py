@@ -97,3 +97,11 @@ def sectionize(blocks: DataFrame) -> DataFrame:
 def read_blocks(flat: DataFrame) -> DataFrame:
     """Flattened blocks with page, level and text, as sectionize takes them."""
     return flat.select("book_id", "seq", "block_type", X.block_page("id").alias("page"), X.block_level("html", "heading_level").alias("level"), X.strip_html("html").alias("text"))
+
+
+def image_names(files: DataFrame) -> DataFrame:
+    """files (book_id, part, name) of the recognised parts of books, with file: the name that each has once parts are put
+    together. The first part keeps a name, later ones put part_<n>_ before it; hidden files are left out."""
+    order = Window.partitionBy("book_id", "name").orderBy("part")
+    seen = files.where(~F.col("name").startswith(".")).withColumn("n", F.row_number().over(order))
+    return seen.withColumn("file", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat(F.lit("part_"), "part", F.lit("_"), "name"))).drop("n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
 from lectern.functions import text as X
+from lectern.functions.words import VISUAL_WORDS
 
 
 def first_images(images: DataFrame, least: int = DEFAULTS.min_image_px) -> DataFrame:
@@ -99,3 +100,20 @@ def select_visuals(visuals: DataFrame, n: int = DEFAULTS.max_visuals, max_bytes:
 
 def has_visuals(images: str | Column = "images", equations: str | Column = "equations") -> Column:
     return (F.coalesce(F.size(X.col(images)), F.lit(0)) > 0) | (F.coalesce(F.size(X.col(equations)), F.lit(0)) > 0)
+
+
+def attachment(question: str | Column, held: Column) -> Column:
+    """attach, has_visuals (held) and asks_for_visuals as a struct. What is there goes along whatever the question says; that
+    the question asks for it is kept to explain the choice."""
+    asks = F.lower(X.col(question)).rlike(X.any_of(VISUAL_WORDS))
+    return F.struct(held.alias("attach"), held.alias("has_visuals"), F.coalesce(asks, F.lit(False)).alias("asks_for_visuals"))
+
+
+def entries(sections: DataFrame) -> DataFrame:
+    """section_id, kind, pos, path of the visuals of sections (section_id, images, equations): figures, then equations. Each
+    section is read once; null arrays hold nothing."""
+
+    def tagged(kind: str, c: str) -> Column:
+        return F.coalesce(F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x["path"].alias("path"))), F.array())
+
+    return sections.select("section_id", F.explode(F.concat(tagged("figure", "images"), tagged("equation", "equations"))).alias("v")).select("section_id", "v.*")

@@ -122,3 +122,24 @@ def visual_select(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "equation").otherwise("figure").alias("kind"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("size"),
     )
     return visuals.select_visuals(o, n=2, max_bytes=200_000).select("q_id", "pos", "rank")
+
+
+@query("""
+SELECT o_orderkey AS section_id, kind, i - 1 AS pos, kind || i || '.png' AS path
+FROM (SELECT o_orderkey, unnest(range(1, o_custkey % 3 + 1)) AS i, 'figure' AS kind FROM orders UNION ALL SELECT o_orderkey, unnest(range(1, o_custkey % 2 + 1)), 'equation' FROM orders)""")
+def visual_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with up to two figures and an equation, and such as have none."""
+
+    def some(kind: str, n: int):
+        numbers = F.when(F.col("o_custkey") % n > 0, F.sequence(F.lit(1), (F.col("o_custkey") % n).cast("int")))
+        return F.transform(numbers, lambda i: F.struct(F.concat(F.lit(kind), i, F.lit(".png")).alias("path")))
+
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section_id"), some("figure", 3).alias("images"), some("equation", 2).alias("equations"))
+    return visuals.entries(s).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""
+SELECT o_custkey AS book_id, o_orderkey AS part, CASE WHEN row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1 THEN '' ELSE 'part_' || o_orderkey || '_' END || o_orderpriority || '.png' AS file FROM orders""")
+def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("part"), F.concat("o_orderpriority", F.lit(".png")).alias("name"))
+    return blocks.image_names(o).drop("name")

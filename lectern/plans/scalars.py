@@ -128,14 +128,15 @@ def block_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", X.block_page(block).alias("page"), X.block_level(html, given).alias("level"))
 
 
-@query("""SELECT o_orderkey, (o_custkey % 3 = 0 OR o_custkey % 4 = 0) AS has_visuals, o_custkey % 5 = 0 AS computational,
+@query("""SELECT o_orderkey, (o_custkey % 3 = 0 OR o_custkey % 4 = 0) AS has_visuals, o_custkey % 5 = 0 AS computational, (o_custkey % 3 = 0 OR o_custkey % 4 = 0) AS attach, o_custkey % 5 = 0 AS asks_for_visuals,
   CASE o_custkey % 4 WHEN 0 THEN false WHEN 1 THEN false ELSE true END AS routable, 's' || o_custkey || '_fig_' || o_custkey || '-2.png' AS file FROM orders""")
 def section_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     ids = F.expr("CASE o_custkey % 4 WHEN 0 THEN 'q' WHEN 1 THEN 'contents' WHEN 2 THEN 'q2' ELSE '1' END")
     few = lambda k: F.when(F.col("o_custkey") % k == 0, F.array(F.lit(1)))
     asked = F.when(F.col("o_custkey") % 5 == 0, "Derive it").otherwise("Tell me")
+    choice = visuals.attachment(asked, visuals.has_visuals(few(3), few(4)))
     return o.select(
-        "o_orderkey", visuals.has_visuals(few(3), few(4)).alias("has_visuals"), visuals.computational(asked).alias("computational"), outline.routable(ids).alias("routable"),
+        "o_orderkey", choice["has_visuals"].alias("has_visuals"), visuals.computational(asked).alias("computational"), choice["attach"].alias("attach"), choice["asks_for_visuals"].alias("asks_for_visuals"), outline.routable(ids).alias("routable"),
         X.visual_name(F.concat(F.lit("s"), "o_custkey"), "fig", F.concat("o_custkey", F.lit(".2"))).alias("file"),
     )

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern import schemas
 from lectern.functions import text as X
 
 
+#: Rows of a batch that a parser's results go back in.
+ROWS = 10_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,6 +82,29 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(X.book_name(stem).alias("book_id"), X.display_name(X.book_name(stem)).alias("display_name"), "path", "content")
 
 
+def parsed(files: DataFrame, make_parser: Callable[[], Callable[[bytes], Iterable[tuple]]], schema: str) -> DataFrame:
+    """Pages, spans, bookmarks or images of files (book_id, content), as schema has them after its first column, book_id.
+
+    The parser, made once a task, takes a file's bytes and gives tuples. Whatever it raises is that file's error: a row with
+    book_id and error alone, and no others of that file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = make_parser()
+        for batch in batches:
+            for book, content in zip(batch["book_id"].to_pylist(), batch["content"], strict=True):
+                try:
+                    rows = [(book, *x, None) for x in parser(content.as_py())]
+                except Exception as e:  # noqa: BLE001  one file's failure, of any kind, is its own
+                    rows = [(book, *[None] * (len(kinds) - 2), f"{type(e).__name__}: {e}")]
+                for at in range(0, len(rows), ROWS):
+                    yield pa.record_batch([pa.array(c, k.type) for c, k in zip(zip(*rows[at : at + ROWS], strict=True), kinds, strict=True)], names=[k.name for k in kinds])
+
+    ddl = f"{schema}, error string"
+    kinds = list(to_arrow_schema(files.sparkSession.createDataFrame([], ddl).schema))
+    return files.select("book_id", "content").mapInArrow(run, ddl)
+
+
 def image_data_urls(files: DataFrame, kind: str = "png") -> DataFrame:
     return files.select("path", F.concat(F.lit(f"data:image/{kind};base64,"), F.base64("content")).alias("url"))
 

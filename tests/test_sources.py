@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import schemas
 from lectern.operators import outline
 from lectern.sources import tables
 from lectern.streaming import ingest
@@ -134,3 +135,13 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert "tfidf_keywords" in e.queries()
+
+
+def test_parsed(spark):
+    def make():
+        return lambda content: [(i, line) for i, line in enumerate(content.decode().split("|"))]
+
+    files = spark.createDataFrame([("a", b"x|y"), ("b", b"\xff"), ("c", b"")], "book_id string, content binary")
+    got = sorted(tuple(r) for r in tables.parsed(files, make, schemas.PAGE).collect())
+    assert got[0] == ("a", 0, "x", None) and got[1] == ("a", 1, "y", None) and got[3] == ("c", 0, "", None)
+    assert got[2][:3] == ("b", None, None) and "UnicodeDecodeError" in got[2][3]
