@@ -15,6 +15,11 @@ from lectern.functions.words import MATH_FONTS, MATH_SYMBOLS, STOP_WORDS
 _SP = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE, NOT_SPACE = f"[{_SP}]", f"[^{_SP}]"
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}]"
+#: The same for Java, in forms that ask one or two questions of most characters; the ones above are what SQL uses.
+_LATIN, _WIDE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0", r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+_RUNS = rf"[\x20{_LATIN}{_WIDE}]{{2,}}|[{_LATIN}{_WIDE}]"
+_LINE_END = r"[\n\r\x0b\f\x1c\x1d\x1e\x85[\x{2028}-\x{2029}]](?:(?<=\r)\n)?"
+_SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 #: (pattern, level); the first match decides. Fixed values.
 HEADINGS = (
@@ -37,18 +42,24 @@ def col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    """Without white space at either end; trim() takes blanks alone."""
-    return F.regexp_replace(col(c), rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without white space at either end. Only the ends are looked at, where a regular expression would try every place."""
+    return F.btrim(col(c), F.lit(_SPACES))
 
 
 def squeeze(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), f"{SPACE}+", " ")
+    """Each run of white space as one blank. Blanks that stand alone are left as they are, so most are not written anew."""
+    return F.regexp_replace(col(c), _RUNS, " ")
+
+
+def bound(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def lines(c: str | Column) -> Column:
     """Lines of a text as an array; a final line end opens no further line, an empty text has none."""
-    parts = F.split(col(c), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return bound(F.split(col(c), _LINE_END, -1), whole)
 
 
 def tokens(c: str | Column) -> Column:
@@ -80,7 +91,10 @@ def slug(c: str | Column, longest: int = 60) -> Column:
 
 def normal_line(c: str | Column) -> Column:
     """A line without page numbers at its ends, in one case and spacing."""
-    s = F.regexp_replace(strip(c), rf"^\p{{Nd}}+{SPACE}*|{SPACE}*\p{{Nd}}+\z", "")
+    # both ends by patterns that can match at the beginning only, so a long line costs no more than a short one
+    number = r"\A\p{Nd}+"
+    s = F.regexp_replace(strip(c), rf"{number}{SPACE}*", "")
+    s = F.when(F.right(s, F.lit(1)).rlike(number), F.reverse(F.regexp_replace(F.reverse(s), rf"{number}{SPACE}*", ""))).otherwise(s)
     return F.lower(strip(squeeze(s)))
 
 

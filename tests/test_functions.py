@@ -1,6 +1,7 @@
 """Scalar functions against plain Python."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,11 @@ def test_symbols(spark):
 def test_lists():
     assert (len(STOP_WORDS), len(RETRIEVAL_STOP_WORDS)) == (276, 318)
     assert len(set(MATH_SYMBOLS)) == len(MATH_SYMBOLS)
+
+
+def test_long_runs_within_a_line(spark):
+    """Runs of digits and blanks that end nowhere near the line's end were tried from each of their places."""
+    run = "x" + "7" * 150_000 + "y" + " " * 150_000 + "z 5"
+    began = time.perf_counter()
+    assert one(spark, X.normal_line, run) == "x" + "7" * 150_000 + "y z"
+    assert time.perf_counter() - began < 10
