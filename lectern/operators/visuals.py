@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lectern.config import DEFAULTS
 from lectern.functions import text as X
 from lectern.functions.words import VISUAL_WORDS
 
+#: Rows of a batch of clusters, a page's more at most.
+ROWS = 10_000
+
 
 def first_images(images: DataFrame, least: int = DEFAULTS.min_image_px) -> DataFrame:
     """images (book_id, xref, pos, width, height): the first of each xref in its book, if it's large enough. A small first
@@ -65,14 +72,39 @@ def cluster_rects(rects: DataFrame, gap: float = DEFAULTS.diagram_gap) -> DataFr
     """Clusters of a page's drawings: book_id, page, cluster, x0, y0, x1, y1, n_paths. A box grows as it takes others in, so
     this is a fold over a page's rectangles (idx gives their order); pages are dealt out."""
     schema = "book_id string, page int, cluster int, x0 double, y0 double, x1 double, y1 double, n_paths int"
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("idx")
-        found = merge_rects(list(page[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), gap)
-        rows = [(page["book_id"].iloc[0], page["page"].iloc[0], i, *box, n) for i, (box, n) in enumerate(found)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rects.groupBy("book_id", "page").applyInPandas(run, schema)
+    sides = ("x0", "y0", "x1", "y1")
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come page by page; a table a page would cost far more than its fold
+        key, page, done = None, [], []
+
+        def close() -> None:
+            done.extend((*key, i, *box, n) for i, (box, n) in enumerate(merge_rects(page, gap)))
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*done), arrow)], schema=arrow)
+
+        for batch in batches:
+            books, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            boxes = zip(*(batch.column(2 + i).to_numpy(zero_copy_only=False).tolist() for i in range(4)))  # nulls are NaN
+            for of, box in zip(zip(books, numbers), boxes):
+                if of != key:
+                    if page:
+                        close()
+                    key, page = of, []
+                    if len(done) >= ROWS:
+                        yield packed()
+                        done.clear()
+                page.append(box)
+        if page:
+            close()
+        if done:
+            yield packed()
+
+    own = rects.select(F.col("book_id").cast("string"), F.col("page").cast("int"), *[F.col(c).cast("double") for c in sides], "idx")
+    placed = own.repartition("book_id", "page").sortWithinPartitions("book_id", "page", F.col("idx").asc_nulls_last())
+    return placed.select("book_id", "page", *sides).mapInArrow(run, schema)
 
 
 def nearest_caption(regions: DataFrame, text_lines: DataFrame, within: float = DEFAULTS.caption_distance) -> DataFrame:
