@@ -2,68 +2,159 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from heapq import nsmallest
+from itertools import groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from lectern.config import DEFAULTS
-from lectern.functions import text as X
 from lectern.functions.words import STOP_WORDS
 
 SECTION = ("book_id", "section_id")
+WORD = re.compile("[a-z0-9]+")
+PLACES = Decimal("1e-9")
+#: Scores that a task remembers, and rows of a batch.
+MOST_SCORES, ROWS = 100_000, 20_000
+
+
+def listed(column: pa.Array) -> list:
+    """to_pylist() makes an object of Arrow's a value; this is several times as fast where nothing is null."""
+    plain = not column.null_count and (pa.types.is_integer(column.type) or pa.types.is_string(column.type))
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
+def section_terms(batches: Iterator[pa.RecordBatch], stop_words) -> Iterator[tuple]:
+    """((book_id, section_id), {term: (tf, first_pos)}) of rows (book_id, section_id, lower-cased text); neighbours of one
+    section are put together."""
+    at, held = None, {}
+    for batch in batches:
+        books, ids, texts = (listed(batch.column(i)) for i in range(3))
+        for key, text in zip(zip(books, ids), texts):
+            if key != at:
+                if held:
+                    yield at, held
+                at, held = key, {}
+            words = WORD.findall(text or "")
+            first = dict(zip(reversed(words), range(len(words) - 1, -1, -1)))
+            for w, n in Counter(words).items():
+                if len(w) >= 3 and w not in stop_words and not w.isdigit():
+                    m, i = held.get(w, (0, first[w]))
+                    held[w] = (m + n, min(i, first[w]))
+    if held:
+        yield at, held
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
+def mapped(rows: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], columns: str) -> DataFrame:
+    """f over batches of rows; what it yields are book_id, section_id as they are in rows, and columns."""
+    schema = StructType([StructField(c, rows.schema[c].dataType) for c in SECTION] + StructType.fromDDL(columns).fields)
+    arrow = to_arrow_schema(schema)
+    return rows.mapInArrow(lambda batches: batched(f(batches), arrow), schema)
+
+
+def lowered(sections: DataFrame) -> DataFrame:
+    return sections.select(*SECTION, F.lower("text").alias("text"))
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """A section's rows side by side."""
+    return rows.repartition(*SECTION).sortWithinPartitions(*SECTION)
+
+
+def _counts(rows: DataFrame, stop_words) -> DataFrame:
+    flat = lambda batches: ((*at, w, *x) for at, held in section_terms(batches, stop_words) for w, x in held.items())
+    return mapped(rows, flat, "term string, tf bigint, first_pos bigint")
 
 
 def term_counts(sections: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     """book_id, section_id, term, tf, first_pos of all keyword terms of sections (book_id, section_id, text).
 
-    A task counts its sections' terms before anything is moved, so what is shuffled are distinct terms, not words.
+    What is moved are texts, once; a section is counted where it lies.
     """
-    words = sections.select(*SECTION, F.posexplode(X.tokens("text")).alias("pos", "term"))
-    return words.where(X.is_keyword("term", stop_words)).groupBy(*SECTION, "term").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"))
+    return _counts(together(lowered(sections)), stop_words)
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("book_id", "term").agg(F.count("*").alias("df"))
 
 
-def top_terms(scored: DataFrame, by: str, n: int) -> DataFrame:
-    """The n best terms of a section; equal ones in order of first occurrence."""
-    order = Window.partitionBy(*SECTION).orderBy(F.col(by).desc(), "first_pos")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+def tf_keywords(sections: DataFrame, n: int = DEFAULTS.top_keywords) -> DataFrame:
+    """The n most frequent terms of a section; equal ones in order of first occurrence."""
 
+    def run(batches):
+        for at, held in section_terms(batches, STOP_WORDS):
+            best = nsmallest(n, held.items(), key=lambda x: (-x[1][0], x[1][1], x[0]))
+            yield from ((*at, i, w, tf) for i, (w, (tf, _)) in enumerate(best, 1))
 
-def tf_keywords(sections: DataFrame, n: int = DEFAULTS.top_keywords) -> DataFrame:
-    return top_terms(term_counts(sections), "tf", n).select(*SECTION, "rank", "term", "tf")
+    return mapped(together(lowered(sections)), run, "rank bigint, term string, tf bigint")
 
 
-def tfidf(counts: DataFrame, sections: DataFrame) -> DataFrame:
-    """counts with df, n_sections of the book and score = tf * ln(n_sections / df), unsmoothed, to nine places."""
+def weighed(sections: DataFrame) -> DataFrame:
+    """book_id, section_id, term, tf, first_pos, df and n_sections of the book, a section's rows side by side.
+
+    Rows are counted where they lie and moved to their terms, where sections given in several rows are put together and df
+    is known, then back to their sections."""
     total = sections.groupBy("book_id").agg(F.count("*").alias("n_sections"))
-    # counted over the terms themselves: texts are split into words once
-    return (
-        counts.withColumn("df", F.count("*").over(Window.partitionBy("book_id", "term")))
-        .join(total, "book_id")
-        .withColumn("score", F.round(F.col("tf") * F.ln(F.col("n_sections") / F.col("df")), 9))
-    )
+    found = _counts(lowered(sections), STOP_WORDS).repartition("book_id", "term")
+    whole = found.groupBy("book_id", "term", "section_id").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"))
+    known = whole.withColumn("df", F.count("*").over(Window.partitionBy("book_id", "term")))
+    return together(known.join(total, "book_id").select(*SECTION, "term", "tf", "first_pos", "df", "n_sections"))
+
+
+def scored_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((book_id, section_id), [(term, tf, first_pos, df, score)]): score = tf * ln(n_sections / df), unsmoothed, to nine places,
+    halves up. Most terms share their three numbers with others, so few scores are worked out."""
+    known: dict = {}
+
+    def score(*x: int) -> float:
+        if x not in known:
+            if len(known) > MOST_SCORES:
+                known.clear()
+            known[x] = float(Decimal(repr(x[0] * math.log(x[2] / x[1]))).quantize(PLACES, ROUND_HALF_UP))
+        return known[x]
+
+    def rows():
+        for batch in batches:
+            yield from zip(*map(listed, batch.columns))
+
+    for at, group in groupby(rows(), key=lambda r: r[:2]):
+        yield at, [(w, tf, pos, df, score(tf, df, n)) for _, _, w, tf, pos, df, n in group]
+
+
+def by_score(x: tuple) -> tuple:
+    return -x[4], x[2], x[0]
 
 
 def tfidf_keywords(sections: DataFrame, n: int = DEFAULTS.top_keywords) -> DataFrame:
-    scored = tfidf(term_counts(sections), sections)
-    return top_terms(scored, "score", n).select(*SECTION, "rank", "term", "tf", "df", "score")
+    def run(batches):
+        for at, terms in scored_sections(batches):
+            yield from ((*at, i, w, tf, df, score) for i, (w, tf, _, df, score) in enumerate(nsmallest(n, terms, key=by_score), 1))
+
+    return mapped(weighed(sections), run, "rank bigint, term string, tf bigint, df bigint, score double")
 
 
 def keyword_sets(sections: DataFrame, n: int = DEFAULTS.top_keywords) -> DataFrame:
     """book_id, section_id, keywords (by frequency), tfidf_keywords, both in order of rank, and their union. A section
     without keywords has empty arrays."""
-    counts = term_counts(sections)
-    ranked = tfidf(counts, sections)
-    by = {c: F.row_number().over(Window.partitionBy(*SECTION).orderBy(F.col(c).desc(), "first_pos")) for c in ("tf", "score")}
-    ranked = ranked.select(*SECTION, "term", by["tf"].alias("a"), by["score"].alias("b")).where((F.col("a") <= n) | (F.col("b") <= n))
 
-    def listed(place: str):
-        kept = F.collect_list(F.when(F.col(place) <= n, F.struct(place, "term")))
-        return F.transform(F.array_sort(kept), lambda x: x["term"])
+    def run(batches):
+        for at, terms in scored_sections(batches):
+            yield *at, [x[0] for x in nsmallest(n, terms, key=lambda x: (-x[1], x[2], x[0]))], [x[0] for x in nsmallest(n, terms, key=by_score)]
 
-    sets = ranked.groupBy(*SECTION).agg(listed("a").alias("keywords"), listed("b").alias("tfidf_keywords"))
+    sets = mapped(weighed(sections), run, "keywords array<string>, tfidf_keywords array<string>")
     none = F.array().cast("array<string>")
     out = sections.select(*SECTION).join(sets, list(SECTION), "left").withColumns({c: F.coalesce(c, none) for c in ("keywords", "tfidf_keywords")})
     return out.withColumn("all_keywords", F.array_union("keywords", "tfidf_keywords"))
