@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
-from heapq import nsmallest
-from itertools import groupby, islice
+from heapq import nlargest, nsmallest
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,10 +20,10 @@ from lectern.config import DEFAULTS
 from lectern.functions.words import STOP_WORDS
 
 SECTION = ("book_id", "section_id")
-WORD = re.compile("[a-z0-9]+")
-PLACES = Decimal("1e-9")
-#: Scores that a task remembers, and rows of a batch.
-MOST_SCORES, ROWS = 100_000, 20_000
+WORD, LONG_WORD = re.compile("[a-z0-9]+"), re.compile("[a-z0-9]{3,}")
+PLACES, SLACK = Decimal("1e-9"), 2e-9
+#: Characters of texts that share a table of terms, and rows of a batch.
+PART_CHARS, ROWS = 4_000_000, 20_000
 
 
 def listed(column: pa.Array) -> list:
@@ -32,27 +32,34 @@ def listed(column: pa.Array) -> list:
     return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
 
 
-def section_terms(batches: Iterator[pa.RecordBatch], stop_words) -> Iterator[tuple]:
+def counted(rows: Iterable[tuple], stop_words) -> Iterator[tuple]:
     """((book_id, section_id), {term: (tf, first_pos)}) of rows (book_id, section_id, lower-cased text); neighbours of one
     section are put together."""
     at, held = None, {}
-    for batch in batches:
-        books, ids, texts = (listed(batch.column(i)) for i in range(3))
-        for key, text in zip(zip(books, ids), texts):
-            if key != at:
-                if held:
-                    yield at, held
-                at, held = key, {}
-            words = WORD.findall(text or "")
-            first = dict(zip(reversed(words), range(len(words) - 1, -1, -1)))
-            for w, n in Counter(words).items():
-                if len(w) >= 3 and w not in stop_words and not w.isdigit():
-                    m, i = held.get(w, (0, first[w]))
-                    held[w] = (m + n, min(i, first[w]))
+    for book, section, text in rows:
+        if (book, section) != at:
+            if held:
+                yield at, held
+            at, held = (book, section), {}
+        words = WORD.findall(text or "")
+        first = dict(zip(reversed(words), range(len(words) - 1, -1, -1)))
+        for w, n in Counter(words).items():
+            if len(w) >= 3 and w not in stop_words and not w.isdigit():
+                m, i = held.get(w, (0, first[w]))
+                held[w] = (m + n, min(i, first[w]))
     if held:
         yield at, held
 
 
+def section_terms(batches: Iterator[pa.RecordBatch], stop_words) -> Iterator[tuple]:
+    """counted() of batches (book_id, section_id, lower-cased text)."""
+    return counted((row for batch in batches for row in zip(*map(listed, batch.columns))), stop_words)
+
+
+def distinct_terms(text: str | None, stop_words) -> list[str]:
+    return [w for w in set(LONG_WORD.findall(text or "")) if w not in stop_words and not w.isdigit()]
+
+
 def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     while part := list(islice(rows, ROWS)):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
@@ -102,62 +109,115 @@ def tf_keywords(sections: DataFrame, n: int = DEFAULTS.top_keywords) -> DataFram
     return mapped(together(lowered(sections)), run, "rank bigint, term string, tf bigint")
 
 
-def weighed(sections: DataFrame) -> DataFrame:
-    """book_id, section_id, term, tf, first_pos, df and n_sections of the book, a section's rows side by side.
-
-    Rows are counted where they lie and moved to their terms, where sections given in several rows are put together and df
-    is known, then back to their sections."""
-    total = sections.groupBy("book_id").agg(F.count("*").alias("n_sections"))
-    found = _counts(lowered(sections), STOP_WORDS).repartition("book_id", "term")
-    whole = found.groupBy("book_id", "term", "section_id").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"))
-    known = whole.withColumn("df", F.count("*").over(Window.partitionBy("book_id", "term")))
-    return together(known.join(total, "book_id").select(*SECTION, "term", "tf", "first_pos", "df", "n_sections"))
-
-
-def scored_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """((book_id, section_id), [(term, tf, first_pos, df, score)]): score = tf * ln(n_sections / df), unsmoothed, to nine places,
-    halves up. Most terms share their three numbers with others, so few scores are worked out."""
-    known: dict = {}
-
-    def score(*x: int) -> float:
-        if x not in known:
-            if len(known) > MOST_SCORES:
-                known.clear()
-            known[x] = float(Decimal(repr(x[0] * math.log(x[2] / x[1]))).quantize(PLACES, ROUND_HALF_UP))
-        return known[x]
-
-    def rows():
-        for batch in batches:
-            yield from zip(*map(listed, batch.columns))
-
-    for at, group in groupby(rows(), key=lambda r: r[:2]):
-        yield at, [(w, tf, pos, df, score(tf, df, n)) for _, _, w, tf, pos, df, n in group]
-
-
-def by_score(x: tuple) -> tuple:
-    return -x[4], x[2], x[0]
+def ordered_terms(texts: list[str | None], stop_words) -> dict[str, int]:
+    """{term: tf} of a section, in order of first occurrence."""
+    if len(texts) > 1:
+        held = next((x for _, x in counted((("", "", t) for t in texts), stop_words)), {})
+        return {w: tf for w, (tf, _) in sorted(held.items(), key=lambda x: (x[1][1], x[0]))}
+    found = Counter(LONG_WORD.findall(texts[0] or ""))
+    return {w: n for w, n in found.items() if w not in stop_words and not w.isdigit()}
+
+
+def parted(sections: DataFrame) -> DataFrame:
+    """book_id, section_id, lower-cased text and part: a part is about PART_CHARS of whole sections, of one book if it has as
+    many. A section is in one part; books that are larger are cut into several."""
+    chars = F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")
+    sizes = sections.rollup("book_id").agg(chars, F.grouping_id().alias("all")).where(f"all = 1 or chars > {PART_CHARS}").collect()
+    total = next((r.chars for r in sizes if r["all"]), 0)
+    large = [r for r in sizes if not r["all"]]
+    kind = StructType([StructField("book_id", sections.schema["book_id"].dataType), *StructType.fromDDL("cuts bigint").fields])
+    cuts = sections.sparkSession.createDataFrame(pa.table([[r.book_id for r in large], [r.chars // PART_CHARS + 1 for r in large]], to_arrow_schema(kind)), kind)
+    place = F.xxhash64("book_id", F.pmod(F.xxhash64("section_id"), F.coalesce("cuts", F.lit(1).cast("bigint"))))
+    cut = lowered(sections).join(F.broadcast(cuts), "book_id", "left")
+    return cut.select(*SECTION, "text", F.pmod(place, F.lit(total // PART_CHARS + 1).cast("bigint")).alias("part")).repartition("part")
+
+
+def whole_sections(rows: pa.Table) -> dict[tuple, list]:
+    """{(book_id, section_id): texts}"""
+    held: dict[tuple, list] = {}
+    for book, section, text in zip(*(listed(rows[c].combine_chunks()) for c in (*SECTION, "text"))):
+        held.setdefault((book, section), []).append(text)
+    return held
+
+
+def scored_sections(sections: DataFrame, f: Callable[..., Iterator[tuple]], columns: str) -> DataFrame:
+    """book_id, section_id and columns of what f(id, texts, terms {term: tf}, score) yields for a section; score(n) gives
+    (term, tf, df, score) of the n terms that score best, score = tf * ln(n_sections / df), unsmoothed, to nine places, halves
+    up, equal ones in order of first occurrence.
+
+    Texts are moved once, to their parts, and counted there twice: first for the part's share of df, which is all that goes
+    to the terms and back, then with df at hand."""
+    texts = parted(sections)
+    ids = [StructField(c, sections.schema[c].dataType) for c in SECTION]
+    shares = StructType([*StructType.fromDDL("part bigint").fields, ids[0], *StructType.fromDDL("term string, n bigint").fields])
+    out = StructType([*ids, *StructType.fromDDL(columns).fields])
+    shares_arrow, out_arrow = to_arrow_schema(shares), to_arrow_schema(out)
+
+    def share(rows: pa.Table) -> pa.Table:
+        # the term "", which no text has, stands for the sections given
+        books: dict = {}
+        for (book, _), given in whole_sections(rows).items():
+            if book is not None:
+                n = books.setdefault(book, Counter())
+                n.update(ordered_terms(given, STOP_WORDS).keys() if len(given) > 1 else distinct_terms(given[0], STOP_WORDS))
+                n[""] += len(given)
+        part = rows["part"][0].as_py()
+        columns = (([part] * len(n), [book] * len(n), list(n), list(n.values())) for book, n in books.items())
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(x, shares_arrow)], schema=shares_arrow) for x in columns], shares_arrow)
+
+    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+        dfs: dict = {}
+        for book, w, df in zip(*(listed(known[c].combine_chunks()) for c in ("book_id", "term", "df"))):
+            dfs.setdefault(book, {})[w] = df
+        idfs: dict = {}
+        for book, of in dfs.items():
+            logs = {df: math.log(of[""] / df) for w, df in of.items() if w}
+            idfs[book] = {w: logs[df] for w, df in of.items() if w}
+        rounded: dict[float, float] = {}
+
+        def best(of: dict, idf: dict, terms: dict, n: int) -> list[tuple]:
+            raw = [tf * idf[w] for w, tf in terms.items()]
+            # rounding moves a score by less than SLACK: below that, none of the best n is lost
+            least = sorted(raw, reverse=True)[n - 1] - SLACK if len(raw) > n else -math.inf
+            some = []
+            for (w, tf), x in zip(terms.items(), raw):
+                if x >= least:
+                    if x not in rounded:
+                        rounded[x] = float(Decimal(repr(x)).quantize(PLACES, ROUND_HALF_UP))
+                    some.append((w, tf, of[w], rounded[x]))
+            return sorted(some, key=lambda x: -x[3])[:n]
+
+        def all_rows():
+            for at, given in whole_sections(rows).items():
+                terms = ordered_terms(given, STOP_WORDS) if at[0] is not None else {}
+                of, idf = dfs.get(at[0]), idfs.get(at[0])
+                yield from ((*at, *x) for x in f(at, given, terms, lambda n: best(of, idf, terms, n)))
+
+        return pa.Table.from_batches(batched(all_rows(), out_arrow), out_arrow)
+
+    mine = texts.groupBy("part").applyInArrow(share, shares)
+    known = mine.select("part", "book_id", "term", F.sum("n").over(Window.partitionBy("book_id", "term")).alias("df"))
+    return texts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(score, out)
 
 
 def tfidf_keywords(sections: DataFrame, n: int = DEFAULTS.top_keywords) -> DataFrame:
-    def run(batches):
-        for at, terms in scored_sections(batches):
-            yield from ((*at, i, w, tf, df, score) for i, (w, tf, _, df, score) in enumerate(nsmallest(n, terms, key=by_score), 1))
+    def run(at, given, terms, best):
+        return ((i, *x) for i, x in enumerate(best(n) if terms else (), 1))
 
-    return mapped(weighed(sections), run, "rank bigint, term string, tf bigint, df bigint, score double")
+    return scored_sections(sections, run, "rank bigint, term string, tf bigint, df bigint, score double")
 
 
 def keyword_sets(sections: DataFrame, n: int = DEFAULTS.top_keywords) -> DataFrame:
     """book_id, section_id, keywords (by frequency), tfidf_keywords, both in order of rank, and their union. A section
-    without keywords has empty arrays."""
+    without keywords, or without an id, has empty arrays."""
 
-    def run(batches):
-        for at, terms in scored_sections(batches):
-            yield *at, [x[0] for x in nsmallest(n, terms, key=lambda x: (-x[1], x[2], x[0]))], [x[0] for x in nsmallest(n, terms, key=by_score)]
+    def run(at, given, terms, best):
+        if at[1] is None or not terms:
+            return [([], [])] * len(given)
+        return [(nlargest(n, terms, key=terms.get), [x[0] for x in best(n)])] * len(given)
 
-    sets = mapped(weighed(sections), run, "keywords array<string>, tfidf_keywords array<string>")
-    none = F.array().cast("array<string>")
-    out = sections.select(*SECTION).join(sets, list(SECTION), "left").withColumns({c: F.coalesce(c, none) for c in ("keywords", "tfidf_keywords")})
-    return out.withColumn("all_keywords", F.array_union("keywords", "tfidf_keywords"))
+    sets = scored_sections(sections, run, "keywords array<string>, tfidf_keywords array<string>")
+    return sets.withColumn("all_keywords", F.array_union("keywords", "tfidf_keywords"))
 
 
 def confusable_pairs(sets: DataFrame, above: float = DEFAULTS.confusable_overlap, group: str = "book_id") -> DataFrame:
