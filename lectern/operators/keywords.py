@@ -24,6 +24,8 @@ WORD, LONG_WORD = re.compile("[a-z0-9]+"), re.compile("[a-z0-9]{3,}")
 PLACES, SLACK = Decimal("1e-9"), 2e-9
 #: Characters of texts that share a table of terms, and rows of a batch.
 PART_CHARS, ROWS = 4_000_000, 20_000
+#: Sections with the same rare keyword that one task compares with all that have it.
+CROWD = 500
 
 
 def listed(column: pa.Array) -> list:
@@ -224,22 +226,37 @@ def confusable_pairs(sets: DataFrame, above: float = DEFAULTS.confusable_overlap
     """Pairs of siblings (same group) that share more than ``above`` of the larger keyword set: section_a < section_b,
     overlap (two places), shared_keywords.
 
-    sets: group, section_id, all_keywords. Pairs come from keywords in the rarest part of both sets alone (the prefix that
-    a pair over the threshold can't avoid), so frequent keywords join nothing; each pair is then compared in full.
+    sets: group, section_id, all_keywords. Sections meet at keywords in the rarest part of both sets alone (the prefix that
+    a pair over the threshold can't avoid), so frequent keywords join nothing. Sets go along, so a pair is compared where it
+    meets (by 64-bit hashes of keywords), and counts only at the rarest keyword that it shares: no pair is moved. A keyword
+    at which many sections meet is dealt out.
     """
-    own = sets.select(group, "section_id", F.col("all_keywords").alias("kw"), F.size("all_keywords").alias("n")).where("n > 0")
-    flat = own.select(group, "section_id", "n", F.explode("kw").alias("term"))
-    df = flat.groupBy(group, "term").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy(group, "section_id").orderBy("df", "term"))
+    own = sets.select(group, "section_id", F.col("all_keywords").alias("kw")).where(F.col(group).isNotNull() & F.col("section_id").isNotNull())
+    flat = own.select(group, "section_id", F.xxhash64("kw").alias("row"), F.explode("kw").alias("term"))
+    known = flat.withColumn("df", F.count("*").over(Window.partitionBy(group, "term")))
+    # rows that are given several times come out as one list with each term as many times
+    lists = known.groupBy(group, "section_id", "row").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("all"))
+    rare_first = lists.select(group, "section_id", F.size("all").alias("size"), F.array_distinct(F.col("all.term")).alias("kw"))
+    ordered = rare_first.select(group, "section_id", F.size("kw").alias("n"), "size", F.sort_array("kw").alias("kw"), F.transform("kw", lambda w: F.xxhash64(w)).alias("keys"))
+    each = ordered.withColumn("copy", F.explode(F.array_repeat(F.lit(0), (F.col("size") / F.col("n")).cast("int"))))
     # over = floor(above * n) + 1 shared terms are needed at least; n - over + 1 first terms can't all be missed
-    prefix = flat.join(df, [group, "term"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.floor(F.lit(above) * F.col("n"))).select(group, "section_id", "n", "term")
-    a, b = (prefix.select(group, "term", F.col("section_id").alias(f"section_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    size_fits = f"least(n_a, n_b) > {above} * greatest(n_a, n_b)"
-    pairs = a.join(b, [group, "term"]).where(f"section_a < section_b and {size_fits}").select(group, "section_a", "section_b").distinct()
-    full = [own.select(group, F.col("section_id").alias(f"section_{x}"), F.col("kw").alias(f"kw_{x}")) for x in "ab"]
-    compared = pairs.join(full[0], [group, "section_a"]).join(full[1], [group, "section_b"]).withColumn("shared_keywords", F.array_sort(F.array_intersect("kw_a", "kw_b")))
-    ratio = F.size("shared_keywords") / F.greatest(F.size("kw_a"), F.size("kw_b"))
-    return compared.where(ratio > above).select(group, "section_a", "section_b", F.round(ratio, 2).alias("overlap"), "shared_keywords")
+    first = F.slice("keys", 1, (F.col("n") - F.floor(F.lit(above) * F.col("n"))).cast("int"))
+    prefix = each.select(group, "section_id", "n", "kw", "keys", F.posexplode(first).alias("place", "key"))
+    crowded = prefix.groupBy(group, "key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("shares")).where("shares > 1")
+    dealt = prefix.join(F.broadcast(crowded), [group, "key"], "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    a, b = (
+        dealt.select(group, "key", share.alias("share"), *[F.col(c).alias(f"{c}_{x}") for c in ("section_id", "n", "kw", "keys", "place")])
+        for x, share in (("a", F.pmod(F.xxhash64("section_id"), "shares").cast("int")), ("b", every))
+    )
+    larger = F.greatest("n_a", "n_b")
+    # cheapest first: what follows the key must do; it can't be the first that both share if their first is the same
+    may = f"section_id_a < section_id_b and least(n_a - place_a, n_b - place_b) > {above} * greatest(n_a, n_b) and (place_a = 0 or place_b = 0 or keys_a[0] <> keys_b[0])"
+    both = F.array_intersect("keys_a", "keys_b")
+    found = a.join(b, [group, "key", "share"]).where(may).where((F.size(both) / larger > above) & (F.element_at(both, 1) == F.col("key")))
+    # in order, as kw_a is
+    shared = F.array_intersect("kw_a", "kw_b").alias("shared_keywords")
+    return found.select(group, F.col("section_id_a").alias("section_a"), F.col("section_id_b").alias("section_b"), F.round(F.size(both) / larger, 2).alias("overlap"), shared)
 
 
 def confusable_map(pairs: DataFrame) -> DataFrame:
